@@ -94,11 +94,11 @@ class Words:
             self._low = LOWER[self.raw]
         return self._low
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word in lower case."""
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word, by default in lower case."""
         n = len(self.raw)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.low] * powers(_BASE, n), out=total[1:])
+        np.cumsum(_BYTES[self.low if lower else self.raw] * powers(_BASE, n), out=total[1:])
         return mix((total[self.end] - total[self.start]) * powers(_INVERSE, n)[self.start] if n else total[:0])
 
     def texts_of(self) -> np.ndarray:

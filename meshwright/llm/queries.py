@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_filter
+from . import decontaminate, pack, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_best_fit_packing": pack.op10_best_fit_packing,
 }
 SQL = {"op6_url_filter": url_filter.OP6_SQL}
