@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, url_filter
+from . import decontaminate, langid, pack, toxicity, url_filter
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_best_fit_packing": pack.op10_best_fit_packing,
