@@ -36,7 +36,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         encoder = Encoder(path)
 
         def do(texts):
-            ids, at, _, _ = encoder.encode(texts)
+            ids, at = encoder.encode(texts)
             sizes, sums = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
