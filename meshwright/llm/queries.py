@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, ngram_join, pack, toxicity, url_filter
+from . import decontaminate, fingerprint, langid, ngram_join, pack, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_document_fingerprints": fingerprint.op8_document_fingerprints,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_best_fit_packing": pack.op10_best_fit_packing,
 }
