@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, ngram_join, pack, toxicity, url_filter
+from . import decontaminate, fingerprint, langid, license_scan, ngram_join, pack, toxicity, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op6_url_filter": url_filter.op6_url_filter,
