@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, license_scan, ngram_join, pack, pii, toxicity, url_filter
+from . import decontaminate, fingerprint, langid, license_scan, lm_score, ngram_join, pack, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
+    "op4_lm_scoring": lm_score.op4_lm_scoring,
     "op5_pii": pii.op5_pii,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,

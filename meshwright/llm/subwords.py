@@ -126,6 +126,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and where each text's begin (one more entry than texts)."""
+        ids, at, start, where = self.encode_segments(texts)
+        return ids, where[np.searchsorted(start, at)]
+
+    def encode_segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids on end; where texts begin and where segments begin in bytes; where each segment's ids begin."""
         raw, at, kind, start, end, h = self.segments(texts)
         if self.ends[self.n - 1] > IDS_KEPT:
             self._clear()
@@ -148,4 +153,4 @@ class Encoder:
         where = np.zeros(len(row) + 1, np.int64)
         np.cumsum(size, out=where[1:])
         ids = self.ids[np.arange(where[-1]) + np.repeat(begin - where[:-1], size)]
-        return ids, where[np.searchsorted(start, at)]
+        return ids, at, start, where
