@@ -1,11 +1,12 @@
 """Words of whole texts, found with numpy on Arrow's own buffers.
 
-``map_text`` runs a function over a text column in slices of about a megabyte, so memory stays bounded
+``map_text`` runs a function over a text column in slices of about half a megabyte, so memory stays bounded
 whatever the size of the table; a single longer text is a slice of its own. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -130,6 +131,14 @@ def bounds(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = stop
 
 
+def release() -> None:
+    """Hand freed memory back: a worker outlives its tasks, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch: a batch of texts must fit beside the JVM."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -173,5 +182,8 @@ def map_text(
                 cols += [v if isinstance(v := got[n], pa.Array) else pa.array(v, arrow.field(n).type, from_pandas=False) for n in names]
                 out = pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow)
                 yield out if stay is None else out.filter(pa.array(np.asarray(stay, bool)))
+                out = cols = part = got = None
+        do = None
+        release()
 
     return source.mapInArrow(run, schema)
