@@ -1,6 +1,6 @@
 """All registered queries of the geometric engine and their SQL."""
 
-from . import l1
+from . import l1, walls
 
-QUERIES = {**l1.QUERIES}
-SQL = {**l1.SQL}
+QUERIES = {**l1.QUERIES, **walls.QUERIES}
+SQL = {**l1.SQL, **walls.SQL}
