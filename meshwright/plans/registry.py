@@ -1,6 +1,6 @@
 """All registered queries of the geometric engine and their SQL."""
 
-from . import l1, walls
+from . import l1, site, walls
 
-QUERIES = {**l1.QUERIES, **walls.QUERIES}
-SQL = {**l1.SQL, **walls.SQL}
+QUERIES = {**l1.QUERIES, **walls.QUERIES, **site.QUERIES}
+SQL = {**l1.SQL, **walls.SQL, **site.SQL}
