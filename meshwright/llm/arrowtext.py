@@ -144,6 +144,13 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Columns but ``own`` under names that no operator gives, and a function that puts all columns back."""
+    plain = {c: c if c in own else f"_in{i}" for i, c in enumerate(docs.columns)}
+    kinds = {c: f.dataType for c, f in zip(docs.columns, docs.schema.fields, strict=True)}
+    return docs.select(*(F.col(f"`{c}`").alias(a) for c, a in plain.items())), lambda out: out.select(*(F.col(f"`{a}`").cast(kinds[c]).alias(c) for c, a in plain.items()))
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable],

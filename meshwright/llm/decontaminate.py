@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, LOWER, Words, map_text, mix, powers
+from .arrowtext import ALNUM, LOWER, Words, map_text, mix, powers, shielded
 
 N = 13
 BLOCK_BYTES = 32 << 20
@@ -139,8 +139,9 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others, hit spans are cut."""
-    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True).where("NOT contaminated")
+    inner, restored = shielded(docs, "doc_id", "text", "n_chars")
+    out = decontaminate(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True).where("NOT contaminated")
     out = out.withColumn("text", F.coalesce("cut_text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns))
+    return restored(out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, LOWER, buffers, map_text
+from .arrowtext import ALNUM, LOWER, buffers, map_text, shielded
 
 BUCKETS = 1 << 15
 ROWS_A_LANGUAGE = 400
@@ -173,4 +173,5 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go."""
     model = learned(docs.where(F.coalesce(crc_rest(F.col("doc_id"), 4) != 2, F.lit(True))))
-    return predict(docs, model).where("NOT rejected").select(*(f"`{c}`" for c in docs.columns))
+    inner, restored = shielded(docs, "doc_id", "text")
+    return restored(predict(inner, model).where("NOT rejected"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, map_text
+from .arrowtext import buffers, map_text, shielded
 
 KINDS = ("email", "ip", "card", "phone")
 ATOMS, STRETCHES, WINDOW = 24, 600, 240
@@ -154,6 +154,8 @@ def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8,
             if (a, b) in at:
                 gold[at[a, b], kind] = 1
         data.append((len(s.edges) - 1, np.array(s.segments), ids, gold))
+    if not names:
+        return {}  # nothing to learn from: base spans alone
     w = np.zeros((len(names), len(KINDS)))
     w[names.get("1", 0)] = -2.0
     seen = np.full(len(names), 1e-2)
@@ -320,7 +322,8 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans give way to the name of their kind."""
-    out = find_pii(docs, learned(docs), mask=True).withColumn("text", F.coalesce("masked", "text"))
+    inner, restored = shielded(docs, "doc_id", "text", "n_chars")
+    out = find_pii(inner, learned(docs), mask=True).withColumn("text", F.coalesce("masked", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("masked").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns))
+    return restored(out)
