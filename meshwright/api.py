@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import classify, graph, measure, mesh, pairs
 from .rules.evaluate import evaluate, summary
 from .rules.rulesets import ruleset as shipped
 from .sources import spf
+from .sources.cut import cut
 
 
 class Models:
@@ -33,15 +34,14 @@ class Models:
     @cached_property
     def triangles(self) -> DataFrame:
         """Corners that coincide are one vertex; degenerate triangles go; closed meshes are wound outwards."""
-        t = spf.triangles(self.entities, self.types).select(self._key, "fid", *(f"{c}{i}" for i in range(3) for c in "xyz"))
+        t = cut(spf.triangles(self.entities, self.types).select(self._key, "fid", *(f"{c}{i}" for i in range(3) for c in "xyz")))  # steps below read it several times
         corner = t.select("element_id", "fid", F.posexplode(F.array(*(F.struct(*(F.col(f"{c}{i}").alias(c) for c in "xyz")) for i in range(3)))).alias("i", "p"))
         place = [F.round(F.col(f"p.{c}"), 8) for c in "xyz"]
-        from pyspark.sql import Window
-
         ids = corner.withColumn("v", F.dense_rank().over(Window.partitionBy("element_id").orderBy(*place)))
         abc = ids.groupBy("element_id", "fid").agg(*(F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate("abc")))
         welded = t.join(abc, ["element_id", "fid"])
-        return mesh.normals(mesh.repair_winding(mesh.drop_degenerate(welded).select(welded.columns))).persist()
+        welded = cut(mesh.drop_degenerate(welded).select(welded.columns))
+        return cut(mesh.normals(mesh.repair_winding(welded)))
 
     @cached_property
     def vertices(self) -> DataFrame:
@@ -51,9 +51,9 @@ class Models:
     @cached_property
     def measurements(self) -> DataFrame:
         t = self.triangles
-        labels = graph.components(t, graph.coplanar_pairs(t, graph.adjacency(t)))
-        axis = classify.wall_axis(t)
-        labelled = classify.label_groups(graph.groups(t, labels), axis)
+        labels = cut(graph.components(t, graph.coplanar_pairs(t, graph.adjacency(t))))
+        axis = cut(classify.wall_axis(t))
+        labelled = cut(classify.label_groups(graph.groups(t, labels), axis))
         box = mesh.bounding_box(self.vertices)
         roles = classify.describe(classify.category_summary(labelled), box)
         size = box.select("element_id", F.col("size_z").alias("bbox_height_m"), F.expr("array_sort(array(size_x, size_y, size_z))").alias("_s"))
@@ -61,7 +61,7 @@ class Models:
         out = mesh.centred_volume(t).select("element_id", "volume").join(mesh.watertight(t).select("element_id", F.col("is_watertight").alias("mesh_is_watertight")), "element_id").join(size, "element_id")
         points = measure.category_vertices(t, labels, labelled, axis)
         out = out.join(measure.level3(points, labelled), "element_id", "left").join(measure.plumbness(labelled), "element_id", "left")
-        return out.join(roles.select("element_id", "is_wall_like", "element_role", "confidence"), "element_id").withColumn("volume_fill_ratio", F.expr("round(try_divide(volume, IF(_v > 0, _v, 1D)), 4)")).drop("_v")
+        return cut(out.join(roles.select("element_id", "is_wall_like", "element_role", "confidence"), "element_id").withColumn("volume_fill_ratio", F.expr("round(try_divide(volume, IF(_v > 0, _v, 1D)), 4)")).drop("_v"))
 
     def pairs(self, reach: float = 1.0) -> DataFrame:
         return pairs.contact(pairs.box_pairs(mesh.bounding_box(self.vertices), reach), self.triangles)

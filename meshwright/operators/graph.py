@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cut import cut
 from .mesh import KEY, edges
 
 
@@ -54,15 +55,11 @@ def propagate(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of one graph of pairs (f, g), by smallest labels and their labels; cut by checkpoints."""
     both = pairs.select(F.col("f").alias("u"), F.col("g").alias("v")).union(pairs.select("g", "f")).distinct()
     label = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l"))
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
         step = label.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        moved = step.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l")).checkpoint()
+        moved = step.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l"))
+        moved = cut(moved)
         label = moved.select("u", "l")
         if moved.where("was <> l").isEmpty():
             break
