@@ -137,8 +137,14 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
         return do
 
-    got = map_text(found, make, "words array<bigint>, counts array<bigint>", text, [key, "_label"]).collect()
-    return fit([(r["_label"], np.array(r["words"], np.int64).view(np.uint64), np.array(r["counts"], float)) for r in sorted(got, key=lambda r: (r[key], r["_label"]))])
+    got = map_text(found, make, "words array<bigint>, counts array<bigint>", text, [key, "_label"]).toArrow()  # flat arrays: no Python object a word
+    labels_, keys = got["_label"].to_pylist(), got[key].to_pylist()
+    words, counts = (got[c].combine_chunks() for c in ("words", "counts"))
+    if not len(got):
+        return fit([])
+    at, flat, times = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64), counts.values.to_numpy()
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], labels_[i]))
+    return fit([(labels_[i], flat[at[i] : at[i + 1]], times[at[i] : at[i + 1]]) for i in order])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
