@@ -44,6 +44,7 @@ TEMPLATES = {
     "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Reserved-notice": "Copyright All rights reserved.",
+    "Rights-notice": "All rights reserved.",
 }
 
 

@@ -186,6 +186,14 @@ def test_license_scan(spark):
     assert got[2]["license_id"] == "MIT-notice" and got[2]["coverage"] == 1
 
 
+def test_rights_notice_alone():
+    texts = ["one two All rights reserved. three", "Copyright (c) 2024 Acme Corp. All rights reserved.", "Copyright. All rights reserved.", "all rights", "No rights are reserved at all."]
+    got = license_scan.matches(license_scan.Index(license_scan.TEMPLATES), pa.array(texts))
+    assert [[(m["license_id"], t[m["start"] : m["end"]]) for m in some] for t, some in zip(texts, got, strict=True)] == [
+        [("Rights-notice", "All rights reserved")], [("Rights-notice", "All rights reserved")], [("Reserved-notice", "Copyright. All rights reserved")], [], []
+    ]
+
+
 def test_toxicity_and_identity(spark):
     rows = [(i, text(i, 12) + (" idiot scum" if i % 4 == 0 else "") + (" women" if i % 4 == 0 or i % 16 == 1 else "")) for i in range(200)]
     d, labels = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id int, toxic int")
