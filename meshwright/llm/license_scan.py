@@ -1,25 +1,30 @@
-"""License scan: winnowed fingerprints of templates pick candidates, banded alignment settles them.
-
-A template's words (runs of ASCII letters and digits and of characters beyond ASCII, lower case) give hashes of each
-``GRAM`` words; of every ``WINDOW`` hashes in a row the smallest is kept in an inverted index of template and place.
-Every text looks all its own hashes up there, so a template's kept hashes are found wherever they stand. Hits of one
-template that agree on where it would begin, within ``BAND`` words, are a candidate; a dynamic programme over a band
-of that width aligns template and text and gives the matched words and the text's span.
-
-A match holds at least ``COVER`` of a template's words (``COVER_SHORT`` of one under ten words). Matches of a text
-don't overlap; the one of more matched words stays, then the earlier, then the shorter template's. Null, empty and unlicensed texts have no match, so no row;
-repeated rows have a match each. The templates are broadcast; their size is checked.
+"""License scan: an index of templates' rarer words picks candidates, banded alignment settles them.
+
+Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case. A match holds at least ``COVER``
+of a template's words (``COVER_SHORT`` of one under ten words). Of n words with ``need`` to match, the
+n - need + ``least`` rarest (by the templates' own counts) are indexed by template and place, so any match meets at least
+``least`` (half of ``need``) of them. A text's words look themselves up there. Where so many hits of one template agree on
+where it would begin, within ``BAND`` words either way, stands a candidate; no match that the alignment would accept is without one. A dynamic
+programme over that band aligns template and text and gives the matched words and the text's span: about every
+candidate place for templates under ``LONG`` words, about every ``BAND``-th and once over all neighbouring places for longer ones.
+
+Matches of a text don't overlap; the one of more matched words stays, then of fewer edits, the earlier, the shorter
+template's. Null, empty and unlicensed texts have no match, so no row; repeated rows have a match each. License texts
+come whole, and once more without their disclaimer ("-terms") where that is less than ``COVER`` of the whole. The
+templates are broadcast; their size is checked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, Words, map_text, ngram_hashes
+from .arrowtext import ALNUM, Words, map_text
 
-GRAM, WINDOW, BAND = 3, 4, 8
+BAND, LONG = 8, 20
 COVER, COVER_SHORT = 0.6, 0.8
 #: Template words that may be broadcast; a larger set is scanned in several passes.
 WORDS_A_PASS = 2_000_000
@@ -31,7 +36,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-notice": "Licensed under the BSD License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -48,14 +53,22 @@ TEMPLATES = {
 }
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places of the smallest of every ``window`` hashes in a row (the last of equals)."""
-    if not len(hashes):
-        return []
-    window = min(window, len(hashes))
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    last = window - 1 - np.argmin(views[:, ::-1], axis=1)
-    return sorted(set((np.arange(len(views)) + last).tolist()))
+#: What follows the terms above in the whole texts (fixed values).
+DISCLAIMERS = {
+    "MIT": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+}
+ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEMPLATES["BSD-3"] = f"{TEMPLATES['BSD']} {ENDORSEMENT} {DISCLAIMERS['BSD']}"
+for _name, _rest in DISCLAIMERS.items():
+    TEMPLATES[f"{_name}-terms"] = TEMPLATES[_name]
+    TEMPLATES[_name] += " " + _rest
+
+
+def needed(n: int) -> int:
+    """Words of a template of ``n`` that a match holds at least."""
+    return math.ceil((COVER if n >= 10 else COVER_SHORT) * n)
 
 
 class Index:
@@ -64,10 +77,13 @@ class Index:
 
         self.names = sorted(templates)
         self.words = [Words(pa.array([templates[n]]), ALNUM).hashes() for n in self.names]
+        every, counts = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]), return_counts=True)
+        self.need = [needed(len(h)) for h in self.words]
+        self.least = np.array([(n + 1) // 2 for n in self.need], np.int64)
         found = []
         for t, h in enumerate(self.words):
-            grams = ngram_hashes(h, GRAM)
-            found += [(int(grams[i]), t, i) for i in winnow(grams)]
+            rare = np.argsort(counts[np.searchsorted(every, h)], kind="stable")[: len(h) - self.need[t] + int(self.least[t])]
+            found += [(int(h[i]), t, i) for i in rare.tolist()]
         found.sort()
         self.keys = np.array([f[0] for f in found], np.uint64)
         self.template, self.place = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
@@ -75,13 +91,13 @@ class Index:
         self.table[self.keys >> np.uint64(46)] = True
 
 
-def align(template: np.ndarray, text: np.ndarray, begin: int, band: int = BAND) -> tuple[int, int, int]:
-    """Matched words and span (first word, past the last) of the template in the text, near ``begin``.
+def align(template: np.ndarray, text: np.ndarray, begin: int, band: int = BAND, more: int = 0) -> tuple[int, int, int, int]:
+    """Score, matched words and span (first word, past the last) of the template in the text, near ``begin`` to ``begin + more``.
 
     Words match for 1, others and gaps cost 1; what the text has before and after the template is free.
     """
     lo = begin - band
-    width = 2 * band + 1
+    width = 2 * band + 1 + more
     # state of each diagonal d: template word i stands at text word lo + d + i
     score, match, first = [0] * width, [0] * width, [-1] * width
     best = (0, 0, 0, 0)
@@ -104,35 +120,52 @@ def align(template: np.ndarray, text: np.ndarray, begin: int, band: int = BAND)
             if m and same and (s, -(j + 1)) > (best[0], -best[3] if best[0] else -(n + 1)):
                 best = (s, m, f, j + 1)
         score, match, first = new_score, new_match, new_first
-    return best[1:]
+    return best
+
+
+def candidates(index: Index, h: np.ndarray, ptr: np.ndarray):
+    """(text, template, first, last): where templates may begin, places with less than two between them taken together."""
+    at = np.flatnonzero(index.table[h >> np.uint64(46)])
+    lo, hi = np.searchsorted(index.keys, h[at], "left"), np.searchsorted(index.keys, h[at], "right")
+    n = hi - lo
+    k = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+    at = np.repeat(at, n)
+    doc, t, place = np.searchsorted(ptr, at, "right") - 1, index.template[k], index.place[k]
+    longest = max(map(len, index.words), default=0)
+    span = len(h) + longest + 4 * BAND + 4  # groups of a text and template lie further apart than a band
+    key = (doc * len(index.names) + t) * span + at - ptr[doc] - place + longest
+    order = np.argsort(key, kind="stable")
+    key, t, place = key[order], t[order], place[order]
+    until = np.arange(len(key)) + index.least[t] - 1
+    full = np.flatnonzero(until < len(key))
+    full = full[key[until[full]] - key[full] <= 2 * BAND]
+    if not len(full):
+        return
+    # the band about each place from `first` to `last` holds the hits full .. until
+    first, last = key[until[full]] - BAND, key[full] + BAND
+    heads = np.flatnonzero(np.append(True, first[1:] > np.maximum.accumulate(last)[:-1] + 1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(full)], strict=True):
+        i, j = full[a], until[full[b - 1]]
+        if len(set(place[i : j + 1].tolist())) >= index.least[t[i]]:  # repeats of a word alone are no match
+            group = int(key[i]) // span
+            zero = group * span + longest
+            yield group // len(index.names), group % len(index.names), int(first[a:b].min()) - zero, int(last[a:b].max()) - zero
 
 
 def matches(index: Index, texts) -> list[list[dict]]:
     w = Words(texts, ALNUM)
     h = w.hashes()
     out: list[list[dict]] = [[] for _ in range(len(w.ptr) - 1)]
-    grams = ngram_hashes(h, GRAM)
-    at = np.flatnonzero(index.table[grams >> np.uint64(46)])
-    lo, hi = np.searchsorted(index.keys, grams[at], "left"), np.searchsorted(index.keys, grams[at], "right")
-    hits: dict[tuple[int, int], list[int]] = {}
-    doc = np.searchsorted(w.ptr, at, "right") - 1
-    for i, d, a, b in zip(at.tolist(), doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        if i + GRAM <= w.ptr[d + 1]:
-            for k in range(a, b):
-                hits.setdefault((d, int(index.template[k])), []).append(i - int(w.ptr[d]) - int(index.place[k]))
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    for (d, t), begins in sorted(hits.items()):
-        own, template, last = h[w.ptr[d] : w.ptr[d + 1]], index.words[t], None
-        for begin in sorted(begins):
-            if last is not None and begin - last <= BAND:
-                continue  # the band about the last one holds it
-            last = begin
-            m, a, b = align(template, own, begin)
-            if m >= (COVER if len(template) >= 10 else COVER_SHORT) * len(template):
-                found.setdefault(d, []).append((m, a, b, t))
+    found: dict[int, set[tuple[int, int, int, int, int]]] = {}
+    for d, t, first, last in candidates(index, h, w.ptr):
+        own, template = h[w.ptr[d] : w.ptr[d + 1]], index.words[t]
+        tried = [align(template, own, begin) for begin in ([*range(first, last + 1)] if len(template) < LONG else [*range(first, last, BAND), last])]
+        if len(template) >= LONG:
+            tried.append(align(template, own, first, more=last - first))
+        found.setdefault(d, set()).update((m, s, a, b, t) for s, m, a, b in tried if m and m >= index.need[t])
     for d, some in found.items():
         taken: list[tuple[int, int]] = []
-        for m, a, b, t in sorted(some, key=lambda x: (-x[0], x[1], len(index.words[x[3]]), x[3])):
+        for m, _, a, b, t in sorted(some, key=lambda x: (-x[0], -x[1], x[2], len(index.words[x[4]]), x[4])):
             if all(b <= p or a >= q for p, q in taken):
                 taken.append((a, b))
                 start, end = int(w.start[w.ptr[d] + a]), int(w.end[w.ptr[d] + b - 1])

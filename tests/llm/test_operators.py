@@ -194,6 +194,52 @@ def test_rights_notice_alone():
     ]
 
 
+def license_texts():
+    r = random.Random(4)
+    out = ["Released under the BSD License", "Licensed under the Apache License 2.0", "Released under some MIT License", "Licensed under the MIT License.", "All rights reserved. All rights reserved. All rights reserved.", "license " * 500]
+    for t in license_scan.TEMPLATES.values():
+        for share in (0, 0.05, 0.15, 0.3):
+            w = []
+            for x in t.split():
+                kind = r.random()
+                w += [] if kind < share / 3 else [x, r.choice(WORDS)] if kind < share * 2 / 3 else [r.choice(WORDS)] if kind < share else [x]
+            out.append(f"{text(len(out), 9)} {' '.join(w)} {text(len(out), 5)}")
+    return [*out, None, ""]
+
+
+def test_license_candidates_against_every_alignment():
+    from meshwright.llm.arrowtext import ALNUM, Words
+
+    short = {k: v for k, v in license_scan.TEMPLATES.items() if len(Words(pa.array([v]), ALNUM).start) < license_scan.LONG}
+    texts = license_texts()
+    for name, template in short.items():
+        index = license_scan.Index({name: template})
+        w = Words(pa.array(texts), ALNUM)
+        h = w.hashes()
+        reached = {}
+        for d, _, first, last in license_scan.candidates(index, h, w.ptr):
+            reached.setdefault(d, set()).update(range(first, last + 1))
+        for d in range(len(texts)):
+            own = h[w.ptr[d] : w.ptr[d + 1]]
+            accepted = {b for b in range(-len(index.words[0]) - 8, len(own) + 9) if license_scan.align(index.words[0], own, b)[1] >= index.need[0]} if len(own) < 50 else set()
+            assert accepted <= reached.get(d, set()), (name, texts[d])
+
+
+def test_license_texts_edited():
+    texts = license_texts()
+    got = [[(m["license_id"], t[m["start"] : m["end"]]) for m in some] for t, some in zip(texts, license_scan.matches(license_scan.Index(license_scan.TEMPLATES), pa.array(texts)), strict=True)]
+    assert got[:6] == [
+        [("BSD-notice", "under the BSD License")], [("Apache-2.0-notice", "Licensed under the Apache License 2.0")], [("MIT-notice", "Released under some MIT License")],
+        [("MIT-notice", "under the MIT License")], [("Rights-notice", "All rights reserved")] * 3, [],
+    ]
+    names = list(license_scan.TEMPLATES)
+    assert [g[0][0] for g in got[6:-2:4]] == names
+    for some, t in zip(got[6:-2:4], license_scan.TEMPLATES.values(), strict=True):
+        assert some[0][1] == t.rstrip("./")  # to its last word, the disclaimer too
+    for name in ("MIT", "ISC", "BSD", "BSD-3", "Apache-2.0", "GPL-3.0", "Unlicense"):
+        assert [g[0][0] for g in got[6 + 4 * names.index(name) :][:3]] == [name] * 3
+
+
 def test_toxicity_and_identity(spark):
     rows = [(i, text(i, 12) + (" idiot scum" if i % 4 == 0 else "") + (" women" if i % 4 == 0 or i % 16 == 1 else "")) for i in range(200)]
     d, labels = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id int, toxic int")
