@@ -272,6 +272,35 @@ def test_base_score(docs):
         assert r["base_score"] == pytest.approx(sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
 
 
+def test_subwords_counts_are_the_corpus(docs):
+    from collections import Counter
+
+    from meshwright.llm.subwords import Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path())
+    scorer, _ = lm_score.learned(docs, rows=1)
+    words = Counter(w for r in rows_of(docs) for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")))
+    begun, kinds = np.zeros(lm_score.IDS), np.zeros(lm_score.IDS)
+    for w, n in words.items():
+        ids, _ = e.encode(pa.array([w]))
+        begun[ids[0]] += n
+        kinds[ids[0]] += 1
+    assert (scorer.of == begun).all() and (scorer.kinds == kinds).all()
+    assert scorer.stops[e.encode(pa.array(["star"]))[0][-1]] > 0.9
+
+
+def test_attention_learns_from_every_text(spark):
+    from meshwright.llm.subwords import Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path())
+    d = spark.createDataFrame([(i, text(i, 60)) for i in range(300)], "doc_id int, text string")
+    s = lm_score.Stream(e, pa.array([text(i, 60) for i in range(300)]))
+    model = lm_score.Model(*lm_score.classes(s.row[:0], np.bincount(s.row, minlength=lm_score.IDS)))
+    before, after = model.logp(s.row, s.windows)[s.own].mean(), lm_score.fitted(d, model, tokenizer_path()).logp(s.row, s.windows)[s.own].mean()
+    assert after > before
+    assert (lm_score.fitted(d.limit(0), model, tokenizer_path()).flat() == model.flat()).all()
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, docs):
     import corpus_pipeline
 
