@@ -58,7 +58,7 @@ def dilatation_joints(spark, d):
 
 
 def _wall_boxes(spark, d):
-    return _boxes(spark, d).where("element_id < 1000000")
+    return tables.wall_boxes(tables.walls(spark, d))
 
 
 def element_distances(spark, d):

@@ -64,11 +64,14 @@ def terrain(spark, sf_dir: str) -> DataFrame:
     return soup(points, cells.withColumn("site", F.lit(0)), ("site",)).selectExpr("fid", *(f"{k}{i}" for i in range(3) for k in "xyz"))
 
 
+def wall_boxes(walls: DataFrame) -> DataFrame:
+    return walls.selectExpr("element_id", "x0 AS min_x", "y0 AS min_y", "z0 AS min_z", "x0 + l AS max_x", "y0 + t AS max_y", "z0 + h + dz AS max_z")
+
+
 def boxes(walls: DataFrame) -> DataFrame:
     """Bounding boxes of walls and of foundation slabs: every fifth part has one, id + 1000000, some an eighth lower."""
-    wall = walls.selectExpr("element_id", "x0 AS min_x", "y0 AS min_y", "z0 AS min_z", "x0 + l AS max_x", "y0 + t AS max_y", "z0 + h + dz AS max_z")
     gap = "IF(element_id % 2 = 0, 0.125D, 0.0D)"
     slab = walls.where("element_id % 5 = 0").selectExpr(
         "element_id + 1000000 AS element_id", "x0 AS min_x", "y0 - 0.25D AS min_y", f"z0 - 0.5D - {gap} AS min_z", "x0 + l AS max_x", "y0 + t + 0.25D AS max_y", f"z0 - {gap} AS max_z"
     )
-    return wall.union(slab)
+    return wall_boxes(walls).union(slab)

@@ -127,6 +127,14 @@ def test_boxes_apart_and_polygon(spark):
     assert terrain.pedestrian_clearance()[2] == (0.75, 2.5)
 
 
+def test_distances_of_large_ids(spark, tmp_path):
+    from meshwright.plans import site
+
+    spark.createDataFrame([(k, "n", "b", "t", 1) for k in (999_999, 1_000_000, 1_000_001)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert [(r["a_id"], r["b_id"]) for r in site.element_distances(spark, str(tmp_path)).collect()] == [(1_000_000, 1_000_001)]
+    assert {r["element_id"] for r in site.nearest_neighbor_distance(spark, str(tmp_path)).collect()} == {1_000_000, 1_000_001}
+
+
 def test_steps_need_five_values(spark):
     p = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([400] * 6 + [402, 399, 401] + [600] * 8)] + [(2, i, 1.0) for i in range(4)], "g int, i int, value double")
     got = stats.profile_steps(p.withColumn("value", F.col("value") + F.col("i") % 2), "g", ["i"]).collect()
