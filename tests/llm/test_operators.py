@@ -49,6 +49,17 @@ def test_jaccard_join(docs, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((d, len(s), comp[d]) for d, s in data)
 
 
+def test_stage_with_repeated_ids(spark):
+    a, b, c = text(0, 60), text(50, 60), text(51, 60)
+    rows = [(1, a), (1, a), (2, a + " extra"), (2, b), (3, b + " extra"), (4, c), (4, c + " extra"), (5, ""), (5, None), (None, c)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id int, text string, _node int")
+    out = ngram_join.stage(spark, d, "")
+    got = [(r["doc_id"], r["text"]) for r in rows_of(out)]
+    assert out.dtypes == d.dtypes and len(got) == 6
+    assert got.count((1, a)) == got.count((2, b)) == got.count((5, "")) == got.count((5, None)) == got.count((None, c)) == 1
+    assert ((4, c) in got) != ((4, c + " extra") in got)
+
+
 def test_chunks_of_a_family():
     rng = np.random.default_rng(0)
     base = np.sort(rng.integers(0, 1 << 60, 80, dtype=np.uint64))
