@@ -1,74 +1,123 @@
-"""L2: surfaces of elements by category, and what the element is."""
+"""L2: surfaces of elements by category, and what the element is. A row an element (``solid``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from . import solid
+from . import text as F
 from .mesh import KEY
+from .solid import let, structs, total
+from .text import Sql as Column
+from .text import put
 
 CATEGORIES = ("crown", "foundation", "front", "back", "end_left", "end_right", "unclassified")
 
 
-def wall_axis(tris_with_normals: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, ax, ay): main direction in plan of the area-weighted triangle centroids; the longer box side if round.
+def _kinds(horizontal: float, lateral: float, x: dict[str, Column]) -> Column:
+    """Groups with ``kind``: a category, or the side + or - of the frame's normal, and the distance along it."""
+    groups, line, local = F.col("groups"), F.col("line"), F.col("local")
 
-    The larger component is positive.
-    """
-    c = tris_with_normals.selectExpr(key, "area AS w", "(x0 + x1 + x2) / 3 AS x", "(y0 + y1 + y2) / 3 AS y", "least(x0, x1, x2) AS lx", "greatest(x0, x1, x2) AS hx", "least(y0, y1, y2) AS ly", "greatest(y0, y1, y2) AS hy")
-    m = c.groupBy(key).agg(F.expr("try_divide(sum(w * x), sum(w))").alias("mx"), F.expr("try_divide(sum(w * y), sum(w))").alias("my"), F.expr("max(hx) - min(lx)").alias("sx"), F.expr("max(hy) - min(ly)").alias("sy"))
-    v = c.join(m, key).groupBy(key).agg(*(F.expr(f"try_divide(sum(w * {a} * {b}), sum(w))").alias(n) for n, a, b in (("xx", "(x - mx)", "(x - mx)"), ("xy", "(x - mx)", "(y - my)"), ("yy", "(y - my)", "(y - my)"))), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
-    v = v.withColumn("d", F.expr("sqrt(pow((xx - yy) / 2, 2) + xy * xy)")).withColumns({"big": F.expr("(xx + yy) / 2 + d"), "small": F.expr("(xx + yy) / 2 - d")})
-    # of the two forms of the eigenvector the one whose entries don't cancel
-    v = v.withColumns({"ex": F.expr("IF(xx >= yy, big - yy, xy)"), "ey": F.expr("IF(xx >= yy, xy, big - xx)")}).withColumn("n", F.expr("sqrt(ex * ex + ey * ey)"))
-    v = v.withColumn("sign", F.expr("IF(IF(abs(ex) >= abs(ey), ex, ey) < 0, -1D, 1D)"))
-    side = "big / greatest(small, 1e-12) < 2 OR n = 0"
-    return v.selectExpr(key, f"IF({side}, IF(sx >= sy, 1D, 0D), sign * ex / n) AS ax", f"IF({side}, IF(sx >= sy, 0D, 1D), sign * ey / n) AS ay")
-
-
-def label_groups(groups: DataFrame, axis: DataFrame, horizontal: float = 45.0, lateral: float = 45.0, key: str = KEY) -> DataFrame:
-    """Groups with a category and the element's front/back ``asymmetry``.
-
-    Level faces are crown or foundation. Faces along the axis are ends where they stand at one of its extremities. The
-    larger of the two remaining sides is the front; of equal ones the one that leans less outwards, then the one to the
-    left of the axis.
+    def of(span: Column) -> Column:
+        def one(g: Column) -> Column:
+            flat = F.sqrt(g["gx"] * g["gx"] + g["gy"] * g["gy"])
+
+            def upright(f: Column) -> Column:
+                toward = (g["gx"] * f["tx"] + g["gy"] * f["ty"]) / flat
+                place = g["px"] * x["ax"] + g["py"] * x["ay"]
+                at_end = F.least(place - span["lo"], span["hi"] - place) < span["reach"]
+                side = g["gx"] * f["nx"] + g["gy"] * f["ny"]
+                end = F.when(~at_end, "unclassified").when(toward > 0, "end_right").otherwise("end_left")
+                return F.when(F.abs(toward) > F.cos(F.radians(F.lit(lateral))), end).otherwise(F.when(side >= 0, "+").otherwise("-"))
+
+            vertical = F.when(flat < 1e-10, "unclassified").otherwise(let(solid.frame(g["px"], g["py"], line, local), upright))
+            return structs(g=g, kind=F.when(F.abs(g["gz"]) > F.cos(F.radians(F.lit(horizontal))), F.when(g["gz"] > 0, "crown").otherwise("foundation")).otherwise(vertical))
+
+        return F.transform(groups, one)
+
+    places = F.transform(groups, lambda g: g["px"] * x["ax"] + g["py"] * x["ay"])
+    sizes = [solid.highest(groups, lambda g, c=c: g[f"p{c}"]) - solid.lowest(groups, lambda g, c=c: g[f"p{c}"]) for c in "xyz"]
+    narrow = F.least(*(F.when(s > 1e-6, s) for s in sizes))
+    span = let(places, lambda p: structs(lo=F.array_min(p), hi=F.array_max(p), reach=F.coalesce(F.col("median_width"), narrow, F.greatest((F.array_max(p) - F.array_min(p)) * 0.1, F.lit(0.01)))))
+    return let(span, of)
+
+
+def with_categories(solids: DataFrame, horizontal: float = 45.0, lateral: float = 45.0) -> DataFrame:
+    """Gives ``groups`` a category, adds the front/back ``asymmetry``.
+
+    Level faces are crown or foundation. Faces along the line are ends where they stand at one of its extremities. The
+    larger of the two remaining sides is the front; of equal ones the one against the frames' normals.
     """
-    w = Window.partitionBy(key)
-    g = groups.join(axis, key).withColumns({"along": F.expr("px * ax + py * ay"), "flat": F.expr("sqrt(gx * gx + gy * gy)"), "across": F.expr("-gx * ay + gy * ax")})
-    spans = [F.max(c).over(w) - F.min(c).over(w) for c in ("px", "py", "pz")]
-    g = g.withColumns({"_lo": F.min("along").over(w), "_hi": F.max("along").over(w), "_tol": F.least(*(F.when(s > 1e-9, s) for s in spans))})
-    cos_h, cos_l = (f"cos(radians({x}D))" for x in (horizontal, lateral))
-    toward = "try_divide(gx * ax + gy * ay, flat)"
-    g = g.withColumn("_kind", F.expr(
-        f"CASE WHEN abs(gz) > {cos_h} THEN IF(gz > 0, 'crown', 'foundation') WHEN abs({toward}) > {cos_l} THEN "
-        f"CASE WHEN least(along - _lo, _hi - along) > coalesce(_tol, 0D) THEN 'unclassified' WHEN {toward} > 0 THEN 'end_right' ELSE 'end_left' END ELSE IF(across > 0, '+', '-') END"
-    ))
-    for s, n in (("+", "plus"), ("-", "minus")):
-        g = g.withColumns({f"_a_{n}": F.coalesce(F.sum(F.when(F.col("_kind") == s, F.col("area"))).over(w), F.lit(0.0)), f"_d_{n}": F.coalesce(F.sum(F.when(F.col("_kind") == s, F.abs("across") * F.col("area"))).over(w), F.lit(0.0))})
-    g = g.withColumn("asymmetry", F.expr("coalesce(try_divide(abs(_a_plus - _a_minus), _a_plus + _a_minus), 0D)"))
-    g = g.withColumn("_front", F.expr("CASE WHEN asymmetry > 1e-6 THEN IF(_a_plus > _a_minus, '+', '-') WHEN round(_d_plus, 9) <= round(_d_minus, 9) THEN '+' ELSE '-' END"))
-    g = g.withColumn("category", F.expr("CASE WHEN _kind IN ('+', '-') THEN IF(_kind = _front, 'front', 'back') ELSE _kind END"))
-    return g.select(*groups.columns, "category", "asymmetry")
-
-
-def category_summary(labelled: DataFrame, key: str = KEY) -> DataFrame:
-    """Count and area of each category, a column each."""
-    sums = [f for c in CATEGORIES for f in (F.count_if(F.col("category") == c).alias(f"{c}_count"), F.coalesce(F.sum(F.when(F.col("category") == c, F.col("area"))), F.lit(0.0)).alias(f"{c}_area"))]
-    return labelled.groupBy(key).agg(*sums, F.max("asymmetry").alias("asymmetry"))
-
-
-def describe(summary: DataFrame, boxes: DataFrame, key: str = KEY) -> DataFrame:
-    """is_wall_like, element_role and confidence from a category summary and a bounding box (size_x, size_y, size_z)."""
-    s = summary.join(boxes.select(key, "size_x", "size_y", "size_z"), key).withColumns({"_max": F.greatest("size_x", "size_y"), "_min": F.least("size_x", "size_y"), "_z": F.col("size_z")})
-    s = s.withColumns({"_aspect": F.expr("_max / greatest(_min, 1e-6)"), "_vert": F.expr("front_area + back_area"), "_hor": F.expr("crown_area + foundation_area")})
+    out = solid.fixed(put(solids, {"_kinds": _kinds(horizontal, lateral, {"ax": F.col("ax"), "ay": F.col("ay")})}))
+    side = lambda s: total(F.filter("_kinds", lambda k: k["kind"] == s), lambda k: k["g"]["area"])
+    out = solid.fixed(put(put(out, {"_sides": solid.held(plus=side("+"), minus=side("-"))}), {"asymmetry": F.coalesce(F.try_divide(F.abs(F.col("_sides.plus") - F.col("_sides.minus")), F.col("_sides.plus") + F.col("_sides.minus")), F.lit(0.0))}))
+    front = F.when((F.col("asymmetry") > 1e-6) & (F.col("_sides.plus") > F.col("_sides.minus")), "+").otherwise("-")
+    names = lambda k: F.when(k["kind"].isin("+", "-"), F.when(k["kind"] == F.col("_front"), "front").otherwise("back")).otherwise(k["kind"])
+    fields = ("group_id", "area", "num_triangles", "px", "py", "pz", "gx", "gy", "gz", "place", "members")
+    out = solid.fixed(put(put(out, {"_front": front}), {"groups": F.transform("_kinds", lambda k: structs(**{f: k["g"][f] for f in fields}, category=names(k)))}))
+    return out.drop("_kinds", "_sides", "_front")
+
+
+def merged(solids: DataFrame) -> DataFrame:
+    """Neighbouring groups of one category become one: normals and centroids by area, the smallest group_id."""
+    by_place = F.sort_array(F.flatten(F.transform("groups", lambda g: F.transform(g["members"], lambda m: structs(fid=m["fid"], category=g["category"])))))
+    same = let(by_place, lambda p: F.filter("near", lambda e: F.get(p, e["f"])["category"] == F.get(p, e["g"])["category"]))
+    out = solid.fixed(put(put(solids, {"_same": same}), {"_parts": solid.components(F.col("_same"), F.size("t"))}))
+    rows = solid.grouped(F.sort_array(F.transform("groups", lambda g: structs(part=F.get(F.col("_parts"), g["place"]), g=g))), lambda r: r["part"])
+    zero = structs(area=F.lit(0.0), n=F.lit(0).cast("bigint"), **{f"{p}{c}": F.lit(0.0) for p in "np" for c in "xyz"})
+    step = lambda s, r: structs(area=s["area"] + r["g"]["area"], n=s["n"] + r["g"]["num_triangles"], **{f"n{c}": s[f"n{c}"] + r["g"][f"g{c}"] * r["g"]["area"] for c in "xyz"}, **{f"p{c}": s[f"p{c}"] + r["g"][f"p{c}"] * r["g"]["area"] for c in "xyz"})
+
+    def one(r: Column) -> Column:
+        def done(s: Column) -> Column:
+            return let(F.sqrt(s["nx"] * s["nx"] + s["ny"] * s["ny"] + s["nz"] * s["nz"]), lambda n: structs(
+                group_id=r[0]["g"]["group_id"], area=s["area"], num_triangles=s["n"], **{f"p{c}": F.try_divide(s[f"p{c}"], s["area"]) for c in "xyz"}, **{f"g{c}": s[f"n{c}"] / F.when(n == 0, 1.0).otherwise(n) for c in "xyz"},
+                place=r[0]["g"]["place"], members=F.sort_array(F.flatten(F.transform(r, lambda q: q["g"]["members"]))), category=r[0]["g"]["category"],
+            ))
+
+        return let(F.aggregate(r, zero, step), done)
+
+    return solid.fixed(put(out, {"groups": F.transform(rows, one)}).drop("_same", "_parts"))
+
+
+def classified(meshes: DataFrame, horizontal: float = 45.0, lateral: float = 45.0, coplanar: float = 5.0) -> DataFrame:
+    """All of level 2 of rows (key, t, v): largest body, clusters, centreline, categories, merging."""
+    bodies = solid.largest_body(solid.faced(meshes))
+    out = solid.with_centreline(solid.with_groups(solid.labelled(bodies, coplanar)), horizontal)
+    return with_summary(merged(with_categories(out, horizontal, lateral)))
+
+
+def with_summary(solids: DataFrame) -> DataFrame:
+    """Adds count and area of each category."""
+    pick = lambda c: F.filter("groups", lambda g: g["category"] == c)
+    of = {c: pick(c) for c in CATEGORIES}
+    return solid.fixed(put(solids, {f"{c}_count": F.size(g).cast("bigint") for c, g in of.items()} | {f"{c}_area": total(g, lambda x: x["area"]) for c, g in of.items()}))
+
+
+def explained(groups: DataFrame, horizontal: float = 45.0) -> DataFrame:
+    """Adds to rows of groups ``reason``: why the group has its category, in words."""
+    tilt = F.degrees(F.acos(F.greatest(F.least("gz", F.lit(1.0)), F.lit(-1.0))))
+    why = F.when(F.col("category") == "crown", F.format_string("faces up: normal %.1f degrees from vertical, limit %.0f", tilt, F.lit(horizontal)))
+    why = why.when(F.col("category") == "foundation", F.format_string("faces down: normal %.1f degrees from vertical, limit %.0f", tilt, F.lit(180 - horizontal)))
+    why = why.when(F.col("category").isin("end_left", "end_right"), F.lit("upright, faces along the line at one of its ends"))
+    why = why.when(F.col("category") == "front", F.format_string("upright, faces across the line, on the side of more area (asymmetry %.4f)", "asymmetry"))
+    why = why.when(F.col("category") == "back", F.format_string("upright, faces across the line, on the side of less area (asymmetry %.4f)", "asymmetry"))
+    return put(groups, {"reason": why.otherwise(F.lit("no direction in plan, or faces along the line away from its ends"))})
+
+
+def describe(solids: DataFrame, key: str = KEY) -> DataFrame:
+    """Adds is_wall_like, element_role and confidence, by the category summary and the box."""
+    s = put(put(solids, {f"_{n}": F.round(F.col(f"size_{c}"), 3) for n, c in (("x", "x"), ("y", "y"), ("z", "z"))}), {"_max": F.greatest("_x", "_y"), "_min": F.least("_x", "_y")})
+    s = put(s, {"_aspect": F.expr("_max / greatest(_min, 1e-6)"), "_vert": F.expr("front_area + back_area"), "_hor": F.expr("crown_area + foundation_area")})
     found = {c: F.col(f"{c}_count") > 0 for c in ("crown", "foundation", "front", "back")}
-    s = s.withColumn("is_wall_like", ~F.expr("(_aspect < 1.5 AND _z < 0.5 * _max) OR (_z < 0.05 * _max AND _z < 0.5 * _min)") | (found["crown"] & found["foundation"] & (found["front"] | found["back"]) & F.expr("_vert > 0.3 * _hor")))
-    s = s.withColumn("element_role", F.expr(
+    flat = "(size_z < 0.05 * greatest(size_x, size_y) AND size_z < 0.5 * least(size_x, size_y))"
+    low = "(greatest(size_x, size_y) / greatest(least(size_x, size_y), 1e-6) < 1.5 AND size_z < 0.5 * greatest(size_x, size_y))"
+    s = put(s, {"is_wall_like": (F.expr(f"NOT ({low} OR {flat})") & (F.size("v") >= 4)) | (found["crown"] & found["foundation"] & (found["front"] | found["back"]) & F.expr("_vert > 0.3 * _hor"))})
+    s = put(s, {"element_role": F.expr(
         "CASE WHEN _z < 0.05 * _max AND _z < 0.5 * _min THEN 'slab' WHEN _z < _min / 2 AND _hor > 2 * _vert THEN 'foundation' WHEN _aspect < 2 AND _z > 0.8 * _max THEN 'column' "
         "WHEN _z < 1.5 AND _min < 0.5 AND _aspect > 3 THEN 'parapet' WHEN _aspect > 2 AND _vert > 0.3 * _hor THEN 'wall_stem' WHEN is_wall_like THEN 'wall_stem' ELSE 'unknown' END"
-    ))
+    )})
     pair = lambda a, b: F.when(found[a] & found[b], 0.25).when(found[a] | found[b], 0.10).otherwise(0.0)
-    total = " + ".join(f"{c}_area" for c in CATEGORIES)
-    score = pair("crown", "foundation") + pair("front", "back") + 0.2 * F.expr(f"1 - coalesce(try_divide(unclassified_area, {total}), 0D)")
+    every = " + ".join(f"{c}_area" for c in CATEGORIES)
+    score = pair("crown", "foundation") + pair("front", "back") + 0.2 * F.expr(f"1 - coalesce(try_divide(unclassified_area, {every}), 0D)")
     score = score + F.when(F.col("is_wall_like"), 0.15).otherwise(0.0) + F.expr("CASE WHEN asymmetry > 0.05 THEN 0.15D WHEN asymmetry > 0.01 THEN 0.08D ELSE 0D END")
-    return s.withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 3)).drop("_max", "_min", "_z", "_aspect", "_vert", "_hor")
+    return put(s, {"confidence": F.round(F.least(score, F.lit(1.0)), 3)}).drop("_x", "_y", "_z", "_max", "_min", "_aspect", "_vert", "_hor")

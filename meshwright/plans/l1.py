@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, mesh
+from ..operators import graph, mesh, solid
 from ..sources import tables
 from .sql_base import NORMALS, TRIS, VERTS, WALLS, with_
 
@@ -18,24 +18,28 @@ def _r(*names, digits=6):
     return [F.round(n, digits).alias(n) for n in names]
 
 
+def _solids(spark, d):
+    return solid.faced(tables.meshes(tables.walls(spark, d)))
+
+
 def l1_volume(spark, d):
-    return mesh.signed_volume(_mesh(spark, d)[1])
+    return _solids(spark, d).select("element_id", *_r("volume"))
 
 
 def l1_surface_area(spark, d):
-    return mesh.total_area(_mesh(spark, d)[1]).select("element_id", *_r("total_area"))
+    return _solids(spark, d).selectExpr("element_id", f"round({solid.total('t', lambda x: x['area'])}, 6) AS total_area")
 
 
 def l1_bbox(spark, d):
-    return mesh.bounding_box(_mesh(spark, d)[0])
+    return _solids(spark, d).select("element_id", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max", "size")))
 
 
 def l1_centroid(spark, d):
-    return mesh.surface_centroid(_mesh(spark, d)[1]).select("element_id", *_r("cx", "cy", "cz"))
+    return solid.with_centroid(_solids(spark, d)).select("element_id", *_r("cx", "cy", "cz"))
 
 
 def l1_watertight(spark, d):
-    return mesh.watertight(_mesh(spark, d)[1])
+    return _solids(spark, d).select("element_id", "is_watertight", "num_edges", "non_manifold_edges")
 
 
 def l1_mesh_quality(spark, d):
@@ -52,8 +56,7 @@ def l1_degenerate_filter(spark, d):
 
 
 def l1_winding_repair(spark, d):
-    out = mesh.repair_winding(_mesh(spark, d)[1])
-    return out.groupBy("element_id").agg(F.max("normals_flipped").alias("normals_flipped")).join(mesh.signed_volume(out), "element_id").select("element_id", "normals_flipped", "signed_volume")
+    return _solids(spark, d).select("element_id", "normals_flipped", F.round(F.when(F.col("normals_flipped"), -F.col("signed_volume")).otherwise(F.col("signed_volume")), 6).alias("signed_volume"))
 
 
 def soup_join(spark, d):
@@ -80,26 +83,26 @@ def _two_bodies(spark, d):
 
 
 def face_components(spark, d):
-    t = _two_bodies(spark, d)
-    return graph.components(t, graph.adjacency(t))
+    """Bodies of walls of which some have two, from a row a triangle."""
+    s = solid.faced(solid.rows(_two_bodies(spark, d)))
+    s = s.withColumn("_body", solid.components("near", "size(t)"))
+    rows = F.transform("t", lambda x, i: F.struct(x["fid"].alias("fid"), F.get("t", F.get(F.col("_body"), i))["fid"].alias("component")))
+    return s.select("element_id", F.inline(rows))
 
 
 def largest_body(spark, d):
-    t = _two_bodies(spark, d)
-    return graph.largest_body(mesh.normals(t), graph.components(t, graph.adjacency(t))).select("element_id", "component", *_r("area"), "num_bodies")
-
-
-def _grouped(spark, d):
-    t = mesh.normals(mesh.repair_winding(_mesh(spark, d)[1]))
-    return t, graph.components(t, graph.coplanar_pairs(t, graph.adjacency(t)))
+    s = solid.largest_body(solid.faced(solid.rows(_two_bodies(spark, d))))
+    return s.select("element_id", F.col("t")[0]["fid"].alias("component"), F.expr(f"round({solid.total('t', lambda x: x['area'])}, 6)").alias("area"), F.col("num_bodies").cast("bigint").alias("num_bodies"))
 
 
 def coplanar_groups(spark, d):
-    return _grouped(spark, d)[1]
+    s = solid.labelled(_solids(spark, d))
+    return s.select("element_id", F.inline(F.transform("t", lambda x, i: F.struct(x["fid"].alias("fid"), F.get("t", F.get("label", i))["fid"].alias("component")))))
 
 
 def group_properties(spark, d):
-    g = graph.groups(*_grouped(spark, d))
+    g = solid.with_groups(solid.labelled(_solids(spark, d)))
+    g = g.select("element_id", F.inline(F.transform("groups", lambda x: F.struct(*(x[c].alias(c) for c in ("group_id", "num_triangles", "area", "px", "py", "pz", "gx", "gy", "gz"))))))
     return g.select("element_id", "group_id", "num_triangles", *_r("area", "px", "py", "pz"), *(F.expr(f"round(g{c}, 6) + 0D").alias(f"g{c}") for c in "xyz"))
 
 
@@ -107,6 +110,9 @@ _T = with_(WALLS, VERTS, TRIS)
 _N = with_(WALLS, VERTS, TRIS, NORMALS)
 _EDGES = "edges AS (SELECT element_id, fid, least(a, b) AS lo, greatest(a, b) AS hi FROM tris UNION ALL SELECT element_id, fid, least(b, c), greatest(b, c) FROM tris UNION ALL SELECT element_id, fid, least(c, a), greatest(c, a) FROM tris)"
 _VOLUME = "sum(x0 * (y1 * z2 - z1 * y2) + y0 * (z1 * x2 - x1 * z2) + z0 * (x1 * y2 - y1 * x2)) / 6"
+_CENTRED = ", ".join(f"avg({c}) AS m{c}" for c in "xyz")
+_ABOUT = "sum((x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx))) / 6"
+_SIGNED = f"sv AS (SELECT element_id, {_ABOUT} AS signed_volume FROM tris JOIN (SELECT element_id, {_CENTRED} FROM verts GROUP BY 1) USING (element_id) GROUP BY 1)"
 _TIGHT = "tight AS (SELECT element_id, min(CASE WHEN n = 2 THEN 1 ELSE 0 END) = 1 AS is_watertight, count(*) AS num_edges, count(*) FILTER (WHERE n <> 2) AS non_manifold_edges FROM (SELECT element_id, lo, hi, count(*) AS n FROM edges GROUP BY ALL) GROUP BY 1)"
 _ADJ = "adj AS (SELECT DISTINCT e.element_id, m.f, e.fid AS g FROM edges e JOIN (SELECT element_id, lo, hi, min(fid) AS f FROM edges GROUP BY ALL) m USING (element_id, lo, hi) WHERE e.fid <> m.f)"
 _CLOSE = """reach(element_id, f, g) AS (SELECT element_id, fid, fid FROM tris UNION SELECT r.element_id, r.f, CASE WHEN p.f = r.g THEN p.g ELSE p.f END FROM reach r JOIN {pairs} p ON p.element_id = r.element_id AND (p.f = r.g OR p.g = r.g)),
@@ -120,7 +126,7 @@ GROUPED = (WALLS, VERTS, _FIXED, NORMALS, _EDGES, _ADJ, _COPLANAR, _CLOSE.format
 
 QUERIES = {f.__name__: f for f in (l1_volume, l1_surface_area, l1_bbox, l1_centroid, l1_watertight, l1_mesh_quality, l1_degenerate_filter, l1_winding_repair, soup_join, weld_vertices, face_adjacency, face_components, largest_body, coplanar_groups, group_properties)}
 SQL = {
-    "l1_volume": f"{_T} SELECT element_id, {_VOLUME} AS signed_volume, abs({_VOLUME}) AS volume FROM tris GROUP BY 1",
+    "l1_volume": f"{with_(WALLS, VERTS, TRIS, _SIGNED)} SELECT element_id, round(abs(signed_volume), 6) AS volume FROM sv",
     "l1_surface_area": f"{_N} SELECT element_id, round(sum(area), 6) AS total_area FROM norms GROUP BY 1",
     "l1_bbox": f"{with_(WALLS, VERTS)} SELECT element_id, {', '.join(f'min({c}) AS min_{c}, max({c}) AS max_{c}, max({c}) - min({c}) AS size_{c}' for c in 'xyz')} FROM verts GROUP BY 1",
     "l1_centroid": f"{_N} SELECT element_id, {', '.join(f'round(coalesce(sum(({c}0 + {c}1 + {c}2) / 3 * area) / nullif(sum(area), 0), avg(({c}0 + {c}1 + {c}2) / 3)), 6) AS c{c}' for c in 'xyz')} FROM norms GROUP BY 1",
@@ -131,7 +137,7 @@ sides AS (SELECT element_id, unnest([sqrt(pow(x0-x1,2)+pow(y0-y1,2)+pow(z0-z1,2)
 SELECT element_id, round(mi, 6) AS min_area, round(ma, 6) AS max_area, round(me, 6) AS median_area, round(e.mi2, 6) AS min_edge, round(e.ma2, 6) AS max_edge, round(e.me2, 6) AS median_edge, degenerate, num_triangles, non_manifold_edges
 FROM ar JOIN dg USING (element_id) JOIN (SELECT element_id, min(s) AS mi2, max(s) AS ma2, median(s) AS me2 FROM sides GROUP BY 1) e USING (element_id) JOIN tight USING (element_id)""",
     "l1_degenerate_filter": f"{_T} SELECT element_id, count(*) AS kept, CASE WHEN element_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS dropped, max(fid) AS last_fid FROM tris GROUP BY element_id",
-    "l1_winding_repair": f"{with_(WALLS, VERTS, _FIXED)} SELECT element_id, bool_or(f) AS normals_flipped, {_VOLUME} AS signed_volume FROM tris GROUP BY 1",
+    "l1_winding_repair": f"{with_(WALLS, VERTS, _FIXED, _SIGNED)} SELECT element_id, normals_flipped, round(signed_volume, 6) AS signed_volume FROM sv JOIN (SELECT element_id, bool_or(f) AS normals_flipped FROM tris GROUP BY 1) USING (element_id)",
     "soup_join": f"{_T} SELECT element_id, {_VOLUME} AS signed_volume FROM tris GROUP BY 1",
     "weld_vertices": f"{with_(WALLS, VERTS)} SELECT element_id, vid, vid AS rep FROM verts UNION ALL SELECT element_id, vid + 8, vid FROM verts",
     "face_adjacency": f"{with_(WALLS, VERTS, TRIS, _EDGES, _ADJ)} SELECT element_id, f, g FROM adj",

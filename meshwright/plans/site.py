@@ -10,7 +10,7 @@ from ..report import sinks
 from ..rules.evaluate import BASIC, evaluate, summary
 from ..sources import tables
 from .sql_base import BOXES, NORMALS, TERRAIN, TRIS, VERTS, WALLS, with_
-from .walls import _CK, _LABEL, _POINTS, _TO, Walls
+from .walls import _CK, _LABEL, _POINTS, _TO, _groups, classified, context
 
 
 def _boxes(spark, d):
@@ -86,7 +86,7 @@ def foundation_embedment(spark, d):
 
 
 def terrain_side(spark, d):
-    g = Walls(spark, d).labelled.where("category IN ('front', 'back')")
+    g = _groups(classified(spark, d)).where("category IN ('front', 'back')")
     return terrain.side(g, tables.terrain(spark, d)).select("element_id", "group_id", "side")
 
 
@@ -128,28 +128,25 @@ def clearance_check(spark, d):
 
 
 def taper_profile(spark, d):
-    t = measure.taper(Walls(spark, d).points())
+    t = measure.with_taper(classified(spark, d)).where("n_slices > 0")
     return t.select("element_id", "n_slices", *(F.round(n, 5).alias(n) for n in ("thickness_min_mm", "thickness_max_mm")))
 
 
 def cross_section_extent(spark, d):
-    """Extent across of each wall's vertices within a quarter of its length about the middle."""
-    w = Walls(spark, d)
-    p = w.points().dropDuplicates(["element_id", "vid"])
-    m = p.groupBy("element_id").agg(((F.min("along") + F.max("along")) / 2).alias("_m"), (F.max("along") - F.min("along")).alias("_l"))
-    near = p.join(m, "element_id").where("abs(along - _m) <= _l * 0.5001")
-    return near.groupBy("element_id").agg(F.count("*").alias("n"), F.round(F.max("across") - F.min("across"), 6).alias("width"), (F.max("z") - F.min("z")).alias("height"))
+    """The section half way along each wall."""
+    s = measure.sections(classified(spark, d))
+    return s.select("element_id", "n", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), F.size("outline").cast("bigint").alias("n_outline"))
 
 
 def anomaly_missing_faces(spark, d):
     """Stems that lack a crown, foundation, front or back; every ninth wall's crowns are struck out."""
-    r = Walls(spark, d).roles().where("element_role = 'wall_stem'").withColumn("crown_count", F.expr("IF(element_id % 9 = 0, 0, crown_count)"))
+    r = classify.describe(classified(spark, d)).where("element_role = 'wall_stem'").withColumn("crown_count", F.expr("IF(element_id % 9 = 0, 0, crown_count)"))
     need = F.explode(F.array(*(F.when(F.col(f"{c}_count") == 0, c) for c in ("crown", "foundation", "front", "back"))))
     return r.select("element_id", need.alias("missing")).where("missing IS NOT NULL")
 
 
 def anomaly_aspect(spark, d):
-    m = Walls(spark, d).measurements()
+    m = context(spark, d)
     return m.select("element_id", F.expr("bbox_dim_max_m / bbox_dim_min_m > 20").alias("slender"), F.expr("crown_width_mm < 0.9 * avg_wall_thickness_mm").alias("narrow_crown"))
 
 
@@ -213,19 +210,18 @@ def csv_sanitize(spark, d):
 
 
 def pset_properties(spark, d):
-    m = Walls(spark, d).measurements()
+    m = context(spark, d)
     p = sinks.pset(m.select("element_id", "mesh_is_watertight", "element_role"), evaluate(m, BASIC).where("seq < 3"))
     return p.select("element_id", "name", "value")
 
 
 def report_json(spark, d):
-    m = Walls(spark, d).measurements()
+    m = context(spark, d)
     return sinks.json_report(m, evaluate(m, BASIC))
 
 
 def ci_summary(spark, d):
-    w = Walls(spark, d)
-    return sinks.ci_lines(w.walls, summary(evaluate(w.measurements(), BASIC)))
+    return sinks.ci_lines(tables.walls(spark, d), summary(evaluate(context(spark, d), BASIC)))
 
 
 _PAIRS = lambda r, src="boxes": f"""pr AS (SELECT a.element_id AS a_id, b.element_id AS b_id, {', '.join(f'a.{m}_{c} AS a_{m}_{c}, b.{m}_{c} AS b_{m}_{c}' for m in ('min', 'max') for c in 'xyz')}, {', '.join(f'greatest(0, greatest(a.min_{c}, b.min_{c}) - least(a.max_{c}, b.max_{c}))::DOUBLE AS gap_{c}' for c in 'xyz')}
@@ -288,7 +284,7 @@ bl AS (SELECT model_id, element_id AS a_id, lead(element_id) OVER o AS b_id, lea
     "taper_profile": f"""{_TO(_LABEL, _POINTS)}, sp AS (SELECT element_id, min(z) AS lo, max(z) - min(z) AS h FROM pts WHERE category IN ('front', 'back') GROUP BY 1), sl AS (SELECT element_id, lo, h, i, lo + h * (0.05 + 0.9 * i / 9) AS height FROM sp, range(10) r(i)),
 th AS (SELECT element_id, i, abs(median(across) FILTER (WHERE category = 'front') - median(across) FILTER (WHERE category = 'back')) * 1000 AS th FROM sl JOIN pts USING (element_id) WHERE category IN ('front', 'back') AND abs(z - height) <= h / 10 * 0.6 GROUP BY ALL)
 SELECT element_id, count(*) AS n_slices, round(min(th), 5) AS thickness_min_mm, round(max(th), 5) AS thickness_max_mm FROM th WHERE th IS NOT NULL GROUP BY 1""",
-    "cross_section_extent": f"{_TO(_LABEL, _POINTS)}, vp AS (SELECT DISTINCT element_id, v, z, along, across FROM pts), mm AS (SELECT element_id, (min(along) + max(along)) / 2 AS m, max(along) - min(along) AS l FROM vp GROUP BY 1) SELECT element_id, count(*) AS n, round(max(across) - min(across), 6) AS width, max(z) - min(z) AS height FROM vp JOIN mm USING (element_id) WHERE abs(along - m) <= l * 0.5001 GROUP BY 1",
+    "cross_section_extent": f"{with_(WALLS, VERTS)}, vp AS (SELECT element_id, y, z, dy, t FROM verts JOIN walls USING (element_id)) SELECT element_id, count(*) AS n, round(max(y) - min(y), 6) AS width, round(max(z) - min(z), 6) AS height, 4::BIGINT AS n_outline FROM vp GROUP BY 1",
     "anomaly_missing_faces": f"{_CK}, mf AS (SELECT element_id, unnest(['crown', 'foundation', 'front', 'back']) AS missing, unnest([CASE WHEN element_id % 9 = 0 THEN 0 ELSE crown_count END, foundation_count, front_count, back_count]) AS n FROM roles WHERE element_role = 'wall_stem') SELECT element_id, missing FROM mf WHERE n = 0",
     "anomaly_aspect": f"{_CK} SELECT element_id, greatest(bx, by_, bz) / least(bx, by_, bz) > 20 AS slender, crown_width_mm < 0.9 * avg_wall_thickness_mm AS narrow_crown FROM ctx",
     "anomaly_profile_steps": """WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), q AS (SELECT * FROM p WHERE n >= 5 AND i >= floor(n * 0.15) AND i < n - floor(n * 0.15)),

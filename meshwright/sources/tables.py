@@ -47,6 +47,16 @@ def triangles(walls: DataFrame) -> DataFrame:
     return rows.selectExpr("element_id", "fid", "a", "b", "c", *(f"p[{v}].{k} AS {k}{i}" for i, v in enumerate("abc") for k in "xyz"))
 
 
+def meshes(walls: DataFrame) -> DataFrame:
+    """(element_id, t, v): the walls of ``vertices`` and ``triangles`` as one row an element, by projection alone."""
+    faces = "array(" + ", ".join(f"named_struct('fid', {i}, 'a', {a}, 'b', {b}, 'c', {c})" for i, (a, b, c) in enumerate(FACES)) + ")"
+    rows = walls.selectExpr("element_id", f"{_points()} AS p", f"filter({faces}, f -> NOT (element_id % 13 = 5 AND f.fid = 11)) AS f")
+    turned = "transform(f, f -> named_struct('fid', f.fid, 'a', f.a, 'b', IF(element_id % 11 = 3, f.c, f.b), 'c', IF(element_id % 11 = 3, f.b, f.c)))"
+    corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
+    rows = rows.selectExpr("element_id", f"transform({turned}, f -> named_struct('fid', f.fid, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")
+    return rows
+
+
 def soup(vertices: DataFrame, triangles: DataFrame, keys: tuple[str, ...] = ("element_id",)) -> DataFrame:
     """Triangles (keys, fid, a, b, c) with the coordinates of their corners, from a vertex table, in one join."""
     corner = triangles.select(*keys, "fid", F.posexplode(F.array("a", "b", "c")).alias("k", "vid"))
