@@ -8,10 +8,15 @@ where it would begin, within ``BAND`` words either way, stands a candidate; no m
 programme over that band aligns template and text and gives the matched words and the text's span: about every
 candidate place for templates under ``LONG`` words, about every ``BAND``-th and once over all neighbouring places for longer ones.
 
+A match of a template under ``LONG`` words must hold the template's telling words (numbers, and such as "SA" or "Lesser"), these
+alone and in order: a notice of version 2 is no match of version 3's. Coverage is of the template, which is a notice or the text
+from its first term on.
+
 Matches of a text don't overlap; the one of more matched words stays, then of fewer edits, the earlier, the shorter
 template's. Null, empty and unlicensed texts have no match, so no row; repeated rows have a match each. License texts
 come whole, and once more without their disclaimer ("-terms") where that is less than ``COVER`` of the whole. The
-templates are broadcast; their size is checked.
+templates are broadcast; their size is checked. Texts of any length are read whole. An empty table gives an empty result.
+Columns of the input named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from .arrowtext import ALNUM, Words, map_text
 
 BAND, LONG = 8, 20
 COVER, COVER_SHORT = 0.6, 0.8
-#: Template words that may be broadcast; a larger set is scanned in several passes.
-WORDS_A_PASS = 2_000_000
+#: Template words that may be broadcast; a larger set is an error.
+WORDS_HELD = 2_000_000
 
 #: License texts and notices (fixed values).
 TEMPLATES = {
@@ -39,19 +44,26 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-notice": "Licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-notice": "Licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Reserved-notice": "Copyright All rights reserved.",
     "Rights-notice": "All rights reserved.",
 }
 
+#: Families of short notices: versions and kinds by rule.
+for _name, _words, _versions in (("GPL", "General", "1 2 3"), ("LGPL", "Lesser General", "2 2.1 3"), ("AGPL", "Affero General", "3")):
+    for _v in _versions.split():
+        TEMPLATES[f"{_name}-{_v if '.' in _v else _v + '.0'}-notice"] = f"Licensed under the GNU {_words} Public License, version {_v}."
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        TEMPLATES[f"CC-{_kind}-{_v}-notice"] = f"Licensed under CC {_kind} {_v}."
+for _v in ("3.0", "4.0"):
+    TEMPLATES[f"CC-BY-{_v}"] = f"This work is licensed under a Creative Commons Attribution {_v} International License."
+for _v in ("2", "3"):
+    TEMPLATES[f"BSD-{_v}-notice"] = f"Licensed under the BSD {_v}-Clause License."
+TEMPLATES["GPL-2.0"] = TEMPLATES["GPL-3.0"].replace("version 3", "version 2")
+#: Words that tell licenses of a family apart, beside numbers (fixed values).
+TELLING = ("lesser", "affero", "sa", "nc", "nd")
 
 #: What follows the terms above in the whole texts (fixed values).
 DISCLAIMERS = {
@@ -79,6 +91,7 @@ class Index:
         self.words = [Words(pa.array([templates[n]]), ALNUM).hashes() for n in self.names]
         every, counts = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]), return_counts=True)
         self.need = [needed(len(h)) for h in self.words]
+        self.telling = [self._telling(t) if len(h) < LONG else None for t, h in zip((templates[n] for n in self.names), self.words, strict=True)]
         self.least = np.array([(n + 1) // 2 for n in self.need], np.int64)
         found = []
         for t, h in enumerate(self.words):
@@ -91,6 +104,18 @@ class Index:
         self.table[self.keys >> np.uint64(46)] = True
 
 
+    @staticmethod
+    def _telling(text: str) -> list[bytes]:
+        import pyarrow as pa
+
+        w = Words(pa.array([text]), ALNUM)
+        return [x for i in range(len(w.start)) if tells(x := w.word(i))]
+
+
+def tells(word: bytes) -> bool:
+    return word.isdigit() or word.decode("utf-8", "replace") in TELLING
+
+
 def align(template: np.ndarray, text: np.ndarray, begin: int, band: int = BAND, more: int = 0) -> tuple[int, int, int, int]:
     """Score, matched words and span (first word, past the last) of the template in the text, near ``begin`` to ``begin + more``.
 
@@ -162,7 +187,9 @@ def matches(index: Index, texts) -> list[list[dict]]:
         tried = [align(template, own, begin) for begin in ([*range(first, last + 1)] if len(template) < LONG else [*range(first, last, BAND), last])]
         if len(template) >= LONG:
             tried.append(align(template, own, first, more=last - first))
-        found.setdefault(d, set()).update((m, s, a, b, t) for s, m, a, b in tried if m and m >= index.need[t])
+        told = index.telling[t]
+        same = lambda a, b, d=d, told=told: told is None or [x for i in range(w.ptr[d] + a, w.ptr[d] + b) if tells(x := w.word(i))] == told
+        found.setdefault(d, set()).update((m, s, a, b, t) for s, m, a, b in tried if m and m >= index.need[t] and same(a, b))
     for d, some in found.items():
         taken: list[tuple[int, int]] = []
         for m, _, a, b, t in sorted(some, key=lambda x: (-x[0], -x[1], x[2], len(index.words[x[4]]), x[4])):
@@ -178,21 +205,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     """A row a match: ``keep``, license_id, coverage, matched_words, start and end (code points, end exclusive)."""
     templates = TEMPLATES if templates is None else templates
     keep = list(docs.columns if keep is None else keep)
-    names, sizes = sorted(templates), {}
-    for n in names:
-        sizes[n] = templates[n].count(" ") + 1
-    passes: list[dict[str, str]] = [{}]
-    for n in names:
-        if passes[-1] and sum(sizes[m] for m in passes[-1]) + sizes[n] > WORDS_A_PASS:
-            passes.append({})
-        passes[-1][n] = templates[n]
-    out = None
-    for some in passes:
-        held = docs.sparkSession.sparkContext.broadcast(Index(some))
-        found = map_text(docs, lambda held=held: lambda texts: {"_found": matches(held.value, texts)}, "_found array<struct<license_id:string,coverage:double,matched_words:int,start:int,end:int>>", text, keep)
-        found = found.select(*(f"`{c}`" for c in keep if c not in ("license_id", "coverage", "matched_words", "start", "end")), F.inline("_found"))
-        out = found if out is None else out.union(found)
-    return out
+    index = Index(templates)
+    if sum(map(len, index.words)) > WORDS_HELD:
+        raise ValueError(f"more than {WORDS_HELD} words of templates: scan them in several calls, matches settle within a call")
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    found = map_text(docs, lambda: lambda texts: {"_found": matches(held.value, texts)}, "_found array<struct<license_id:string,coverage:double,matched_words:int,start:int,end:int>>", text, keep)
+    return found.select(*(f"`{c}`" for c in keep if c not in ("license_id", "coverage", "matched_words", "start", "end")), F.inline("_found"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
