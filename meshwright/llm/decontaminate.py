@@ -4,12 +4,13 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, A
 its runs of ``n`` consecutive words; an item with fewer words, but some, is one window. Window hashes of a text are
 looked up in a bit table, then in the sorted hashes, and a hit counts once its words are compared.
 
-The windows of a block of items are broadcast; a block holds items of ``BLOCK_BYTES`` of text at most (one item at
-least), and a larger benchmark takes several blocks, one after the other over the same rows, so results are whole
-at any size of the benchmark and no text is shuffled.
+The windows of a block of items are broadcast as flat arrays (some 30 bytes a window): a block holds about ``BLOCK_BYTES`` of
+text, and a larger benchmark takes several blocks, one after the other over the same rows, whose results are written in between
+so that one block is held at a time. So results are whole at any size of the benchmark and no text is shuffled.
 
-Null and empty texts have no words, aren't hit and not contaminated; null items are no items; repeated items count
-once for each id; an empty benchmark hits nothing.
+Null and empty texts have no words, aren't hit and not contaminated; texts of any length are read whole; null items are no items;
+repeated items count once for each id; an empty benchmark hits nothing, an empty table gives an empty result. Columns of the input
+named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -18,41 +19,52 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, LOWER, Words, map_text, mix, powers, shielded
+from .arrowtext import ALNUM, Words, map_text, mix, powers, shielded
+from .storage import saved
 
 N = 13
-BLOCK_BYTES = 32 << 20
-_STEP = np.uint64(0xD1342543DE82EF95)
-
-
-def windows(texts: list[tuple[str, str]], n: int = N) -> dict[int, tuple[np.ndarray, np.ndarray, list[tuple[bytes, list[str]]]]]:
-    """By window length: a bit table over the hashes' upper bits, the sorted hashes, and words and item ids of each."""
-    import pyarrow as pa
-
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-    for item, text in texts:
-        w = Words(pa.array([text], pa.string()), ALNUM)
-        h = w.hashes()
-        k = min(n, len(h))
-        for i in range(len(h) - k + 1) if k else ():
-            total = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for j, p in enumerate(powers(_STEP, k)):
-                    total += h[i + j] * p
-            key = int(mix(np.array([total]))[0])
-            found.setdefault(k, {}).setdefault(key, {}).setdefault(b" ".join(w.word(i + j) for j in range(k)), set()).add(item)
-    out = {}
-    for k, by in found.items():
-        flat = sorted((key, words, sorted(items)) for key, held in by.items() for words, items in held.items())
-        keys = np.array([x[0] for x in flat], np.uint64)
-        table = np.zeros(1 << 20, bool)
-        table[keys >> np.uint64(44)] = True
-        out[k] = (table, keys, [x[1:] for x in flat])
-    return out
-
-
-def _scan(block, cut: bool):
+BLOCK_BYTES = 8 << 20
+_STEP, _CHECK = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
+
+
+class Windows:
+    """The windows of a block's items by their length: sorted hashes, then where each begins among the items' words."""
+
+    def __init__(self, texts: list[tuple[str, str]], n: int = N):
+        import pyarrow as pa
+
+        self.names = sorted({i for i, _ in texts})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.words = w = Words(pa.array([t for _, t in texts], pa.string()), ALNUM)
+        item = np.array([number[i] for i, _ in texts], np.int32)
+        h, size, of = w.hashes(), np.diff(w.ptr), w.texts_of()
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted(set(np.minimum(size, n).tolist()) - {0}):
+            at = np.flatnonzero((np.minimum(size, n)[of] == k) & (np.arange(len(h)) + k <= w.ptr[of + 1]))
+            key, second = (mix(sum(h[at + j] * p for j, p in enumerate(powers(s, k)))) for s in (_STEP, _CHECK))
+            order = np.lexsort((item[of[at]], second, key))
+            key, second, at, own = key[order], second[order], at[order].astype(np.int32), item[of[at]][order]
+            new = np.append(True, (key[1:] != key[:-1]) | (second[1:] != second[:-1]) | (own[1:] != own[:-1]))  # an item once
+            key, second, at, own = key[new], second[new], at[new], own[new]
+            table = np.zeros(1 << 20, bool)
+            table[key >> np.uint64(44)] = True
+            self.by_length[k] = (table, key, second, at, own)
+
+    def items(self, k: int, key: int, words: bytes) -> list[str]:
+        """Items that hold these words, of a window whose hash is ``key``."""
+        _, keys, second, at, own = self.by_length[k]
+        a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        out: list[str] = []
+        heads = a + np.flatnonzero(np.append(True, second[a + 1 : b] != second[a : b - 1]))  # windows of one check are one
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), int(b)], strict=True):
+            if b" ".join(self.words.word(int(at[i]) + x) for x in range(k)) == words:
+                out += [self.names[x] for x in own[i:j]]
+        return out
+
+
+def _scan(block: Windows, cut: bool):
     """A task's function over a slice: n_words, hit runs (word numbers) and items, added to those of earlier blocks."""
+    known: dict[tuple[int, int, bytes], list[str]] = {}
 
     def do(texts, runs=None, items=None):
         w = Words(texts, ALNUM)
@@ -60,27 +72,31 @@ def _scan(block, cut: bool):
         runs_of = [list(x) for x in runs.to_pylist()] if runs is not None else [[] for _ in range(docs)]
         items_of = [set(x) for x in items.to_pylist()] if items is not None else [set() for _ in range(docs)]
         total = np.zeros(n, np.uint64)
-        step = powers(_STEP, N + 1) if not block else powers(_STEP, max(block))
-        for k in range(1, max(block, default=0) + 1):
+        most = max(block.by_length, default=0)
+        step = powers(_STEP, most or 1)
+        for k in range(1, most + 1):
             if n < k:
                 break
             total = total[: n - k + 1]
             total += h[k - 1 :] * step[k - 1]
-            if k not in block:
+            if k not in block.by_length:
                 continue
-            table, keys, held = block[k]
+            table, keys = block.by_length[k][:2]
             mixed = mix(total)
             at = np.flatnonzero(table[mixed >> np.uint64(44)])
-            lo, hi = np.searchsorted(keys, mixed[at], "left"), np.searchsorted(keys, mixed[at], "right")
-            at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
+            at = at[keys[np.minimum(np.searchsorted(keys, mixed[at]), len(keys) - 1)] == mixed[at]]
             doc = np.searchsorted(w.ptr, at, "right") - 1
             inside = at + k <= w.ptr[doc + 1]
-            for i, d, a, b in zip(at[inside].tolist(), doc[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
+            for i, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
                 words = b" ".join(w.word(i + j) for j in range(k))
-                for same, ids in held[a:b]:
-                    if same == words:
-                        items_of[d].update(ids)
-                        runs_of[d] += [i - int(w.ptr[d]), i - int(w.ptr[d]) + k]
+                if len(known) > 50_000:
+                    known.clear()
+                found = known.get((k, int(mixed[i]), words))
+                if found is None:
+                    found = known[k, int(mixed[i]), words] = block.items(k, mixed[i], words)
+                if found:
+                    items_of[d].update(found)
+                    runs_of[d] += [i - int(w.ptr[d]), i - int(w.ptr[d]) + k]
         n_hit = []
         for d, x in enumerate(runs_of):
             if x:
@@ -122,8 +138,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out, sc = docs, docs.sparkSession.sparkContext
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        held = sc.broadcast(windows([(r["item"], r["text"]) for r in mine.collect()], n))
+        held = sc.broadcast(Windows([(r["item"], r["text"]) for r in mine.toLocalIterator()], n))  # about BLOCK_BYTES of text
         out = map_text(out, lambda held=held, last=k == blocks - 1: _scan(held.value, cut and last), fields if k == blocks - 1 else fields.replace(", _cut string", ""), text, [*dict.fromkeys([*keep, *([text] if k < blocks - 1 else [])])], ("_runs", "_items") if k else ())
+        if k < blocks - 1:
+            out = saved(out, "hits")
+            held.destroy()
     done = {
         "n_items": F.size("_items").cast("bigint"),
         "items_sha256": F.sha2(F.array_join(F.array_sort("_items"), ","), 256),
