@@ -7,6 +7,7 @@ expressions. All of it is DataFrame functions: the index is a literal of hash bu
 partition, and rows that repeat keep their own results.
 
 Null urls and urls without ``://`` have an empty host and path; no rule fits them and their verdict is ``default``.
+Of fitting rules of one length the last by name counts. Urls of any length are read whole.
 An empty table gives an empty result. Columns of the input named as an output column are replaced.
 """
 
@@ -115,8 +116,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule], method_rules: list[Rule] =
 
 #: The rules that the contract states (fixed values).
 STATED = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
-#: Where none of them fits: hosts that sell, bet or track.
-METHOD = [Rule(f"*{x}*", "block") for x in ("spam-farm.", "cheap-pills.", "adult-x.", "free-bets.", "ads-track.", "casino.", "-pills.")]
+#: Words of hosts that sell, bet or track; domains that serve advertisements, trackers and link spam (fixed values).
+SPAM_HOSTS = ("spam-farm.", "cheap-pills.", "adult-x.", "free-bets.", "ads-track.", "-pills.")
+SPAM_LABELS = "casino poker roulette slots bingo sportsbet payday-loans quick-loan viagra cialis replica-watches free-ringtones warez keygen xxx adserver adservice clickbank popunder".split()
+SPAM_DOMAINS = """doubleclick.net googlesyndication.com googleadservices.com adnxs.com adsrvr.org rubiconproject.com pubmatic.com openx.net criteo.com criteo.net taboola.com outbrain.com
+scorecardresearch.com quantserve.com advertising.com adform.net smartadserver.com casalemedia.com contextweb.com indexww.com sharethrough.com spotxchange.com teads.tv bidswitch.net mathtag.com
+moatads.com adsafeprotected.com doubleverify.com serving-sys.com flashtalking.com zedo.com popads.net popcash.net propellerads.com adcash.com exoclick.com juicyads.com trafficjunky.net trafficfactory.biz
+revcontent.com mgid.com adblade.com zergnet.com chartbeat.com hotjar.com mouseflow.com crazyegg.com mixpanel.com amplitude.com bluekai.com demdex.net krxd.net exelator.com rlcdn.com tapad.com agkn.com
+media.net yieldmo.com gumgum.com undertone.com tribalfusion.com conversantmedia.com buysellads.com carbonads.net adroll.com perfectaudience.com steelhousemedia.com simpli.fi turn.com rocketfuel.com
+semasio.net weborama.fr adition.com yieldlab.net stroeerdigitalgroup.de ligatus.com plista.com emetriq.de meetrics.net ioam.de adspirit.de adscale.de affili.net zanox.com awin1.com tradedoubler.com""".split()
+METHOD = [Rule(f"*{x}*", "block") for x in SPAM_HOSTS] + [Rule(f"*.{x}.*", "block") for x in SPAM_LABELS] + [Rule(f"{x}/", "block") for x in SPAM_DOMAINS]
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -124,6 +133,8 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages, STATED, METHOD).select("page_id", "host", "path", "rule", "verdict")
 
 
+_FREE = "|".join([*(x.replace(".", r"\.") for x in SPAM_HOSTS), *(rf"\.{x}\." for x in SPAM_LABELS)])
+_DOMAINS = "|".join(x.replace(".", r"\.") for x in SPAM_DOMAINS)
 OP6_SQL = r"""
 WITH a AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -131,5 +142,5 @@ b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) t(rule, rhost, rpath, action)),
 m AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM (
   SELECT b.*, r.rule, r.action FROM b LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host || path, 'spam-farm\.|cheap-pills\.|adult-x\.|free-bets\.|ads-track\.|casino\.|-pills\.') THEN 'block' ELSE 'allow' END) AS verdict FROM m
-"""
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host || path, '{free}', 's') OR regexp_matches(host || path, '^([^/]*\.)?({domains})/') THEN 'block' ELSE 'allow' END) AS verdict FROM m
+""".replace("{free}", _FREE).replace("{domains}", _DOMAINS)
