@@ -8,6 +8,8 @@ fullest). Each time some length falls below its share of a combination, so there
 their rank among those of their length, by salted windows, and look their place up in the plan.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as they come. An empty table gives no rows.
+Long texts are read whole. Pieces of equal length, id and checksum take their places in any order. Columns of the input named as
+an output column are replaced.
 """
 
 from __future__ import annotations
@@ -115,9 +117,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
     ranked = ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # the plan has a bounded number of rows for each of at most `capacity` lengths
-    placed = ranked.join(F.broadcast(places), "length").where("_rank >= _from AND _rank < _to").withColumn("_k", F.col("_rank") - F.col("_from"))
+    stretch = F.sort_array(F.collect_list(F.struct("_from", "_to", "_each", "_bin", "_at"))).alias("_places")
+    by_length = places.groupBy("length").agg(stretch)
+    placed = ranked.join(F.broadcast(by_length), "length").withColumn("_p", F.expr("filter(_places, x -> _rank >= x._from AND _rank < x._to)[0]"))
+    placed = placed.select(*ranked.columns, "_p.*").withColumn("_k", F.col("_rank") - F.col("_from"))
     return placed.select(
-        *(f"`{c}`" for c in pieces.columns),
+        *(f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")),
         (F.col("_bin") + F.floor(F.col("_k") / F.col("_each"))).cast("bigint").alias("sequence_id"),
         (F.col("_at") + F.col("_k") % F.col("_each") * F.col("length")).cast("bigint").alias("offset"),
     )
