@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by checkpoint(), in spark.checkpoint.dir; a temporary folder of this machine where that is unset (tests)."""
+    """``df`` by checkpoint(), in spark.checkpoint.dir; a temporary folder of a session on one machine where that is unset (tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
