@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import classify, graph, measure, mesh, pairs
+from .operators import classify, context, measure, mesh, pairs, solid
 from .rules.evaluate import evaluate, summary
 from .rules.rulesets import ruleset as shipped
 from .sources import spf
@@ -19,7 +19,7 @@ class Models:
 
     def __init__(self, spark: SparkSession, paths: str | list[str], types: tuple[str, ...] = ("IFCWALL",)):
         self.files = spf.texts(spark, paths)
-        self.entities = spf.entities(self.files).persist()
+        self.entities = cut(spf.entities(self.files))
         self.types = types
         self._key = F.concat_ws("#", "model_id", "element_id").alias("element_id")
 
@@ -33,7 +33,7 @@ class Models:
 
     @cached_property
     def triangles(self) -> DataFrame:
-        """Corners that coincide are one vertex; degenerate triangles go; closed meshes are wound outwards."""
+        """Corners that coincide are one vertex; degenerate triangles go."""
         t = cut(spf.triangles(self.entities, self.types).select(self._key, "fid", *(f"{c}{i}" for i in range(3) for c in "xyz")))  # steps below read it several times
         corner = t.select("element_id", "fid", F.posexplode(F.array(*(F.struct(*(F.col(f"{c}{i}").alias(c) for c in "xyz")) for i in range(3)))).alias("i", "p"))
         place = [F.round(F.col(f"p.{c}"), 8) for c in "xyz"]
@@ -41,30 +41,46 @@ class Models:
         abc = ids.groupBy("element_id", "fid").agg(*(F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate("abc")))
         welded = t.join(abc, ["element_id", "fid"])
         welded = cut(mesh.drop_degenerate(welded).select(welded.columns))
-        return cut(mesh.normals(mesh.repair_winding(welded)))
+        return welded
 
     @cached_property
     def vertices(self) -> DataFrame:
-        corner = F.explode(F.array(*(F.struct(F.col(v).alias("vid"), *(F.col(f"{c}{i}").alias(c) for c in "xyz")) for i, v in enumerate("abc"))))
-        return self.triangles.select("element_id", corner.alias("p")).select("element_id", "p.*").dropDuplicates(["element_id", "vid"])
+        return self.solids.select("element_id", F.inline("v"))
+
+    @cached_property
+    def solids(self) -> DataFrame:
+        """A row an element, with levels 2 and 3."""
+        return cut(measure.enriched(classify.classified(solid.rows(self.triangles))))
 
     @cached_property
     def measurements(self) -> DataFrame:
-        t = self.triangles
-        labels = cut(graph.components(t, graph.coplanar_pairs(t, graph.adjacency(t))))
-        axis = cut(classify.wall_axis(t))
-        labelled = cut(classify.label_groups(graph.groups(t, labels), axis))
-        box = mesh.bounding_box(self.vertices)
-        roles = classify.describe(classify.category_summary(labelled), box)
-        size = box.select("element_id", F.col("size_z").alias("bbox_height_m"), F.expr("array_sort(array(size_x, size_y, size_z))").alias("_s"))
-        size = size.selectExpr("element_id", "bbox_height_m", "_s[2] AS bbox_dim_max_m", "_s[1] AS bbox_dim_mid_m", "_s[0] AS bbox_dim_min_m", "_s[0] * _s[1] * _s[2] AS _v")
-        out = mesh.centred_volume(t).select("element_id", "volume").join(mesh.watertight(t).select("element_id", F.col("is_watertight").alias("mesh_is_watertight")), "element_id").join(size, "element_id")
-        points = measure.category_vertices(t, labels, labelled, axis)
-        out = out.join(measure.level3(points, labelled), "element_id", "left").join(measure.plumbness(labelled), "element_id", "left")
-        return cut(out.join(roles.select("element_id", "is_wall_like", "element_role", "confidence"), "element_id").withColumn("volume_fill_ratio", F.expr("round(try_divide(volume, IF(_v > 0, _v, 1D)), 4)")).drop("_v"))
+        """The rules' context, with contact, neighbours and, where a model has a site, its terrain."""
+        near = pairs.box_pairs(self._boxes, 10.0)
+        ground = cut(spf.triangles(self.entities, ("IFCSITE",)).select("model_id", "fid", *(f"{c}{i}" for i in range(3) for c in "xyz")))
+        distances = pairs.vertex_distances(self._same_model(near), self.vertices)
+        own = measure.context(self.solids)
+        if ground.isEmpty():
+            return cut(context.joined(own, self.pairs(), distances))
+        parts = [r["model_id"] for r in ground.select("model_id").distinct().collect()]  # one row a file with terrain
+        base, out = context.joined(own, self.pairs(), distances), None
+        for m in parts:
+            mine = self.solids.where(F.substring_index("element_id", "#", 1) == m)
+            one = context.joined(base.where(F.substring_index("element_id", "#", 1) == m), None, None, mine, ground.where(F.col("model_id") == m))
+            out = one if out is None else out.unionByName(one)
+        rest = base.where(~F.substring_index("element_id", "#", 1).isin(parts))
+        return cut(out.unionByName(rest, allowMissingColumns=True))
+
+    @property
+    def _boxes(self) -> DataFrame:
+        return self.solids.select("element_id", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max", "size")))
+
+    @staticmethod
+    def _same_model(met: DataFrame) -> DataFrame:
+        return met.where(F.substring_index("a_id", "#", 1) == F.substring_index("b_id", "#", 1))
 
     def pairs(self, reach: float = 1.0) -> DataFrame:
-        return pairs.contact(pairs.box_pairs(mesh.bounding_box(self.vertices), reach), self.triangles)
+        faces = self.solids.select("element_id", F.inline("t"))
+        return pairs.contact(self._same_model(pairs.box_pairs(self._boxes, reach)), faces)
 
     def checks(self, rules: dict | str = "retaining_wall") -> DataFrame:
         return evaluate(self.measurements, shipped(rules) if isinstance(rules, str) else rules)

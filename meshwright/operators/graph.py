@@ -1,12 +1,7 @@
-"""Graphs within elements: welding, adjacency, components.
-
-Edges come from joins and grouping; only the closing of an element's edge list into components is a small loop inside
-a grouped map. ``propagate`` closes one graph of any size by rounds of joins instead.
-"""
+"""Graphs as tables: welding, adjacency, and components of one graph of any size. Graphs within elements are in ``solid``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +9,16 @@ from ..sources.cut import cut
 from .mesh import KEY, edges
 
 
-def weld(verts: DataFrame, decimals: int = 6, key: str = KEY) -> DataFrame:
-    """(key, vid, rep): the first vertex of the same rounded place."""
-    place = [F.round(c, decimals) for c in "xyz"]
+def weld(verts: DataFrame, decimals: int | None = None, key: str = KEY) -> DataFrame:
+    """(key, vid, rep): the first vertex of the same rounded place.
+
+    By default places have eight digits below the size of the element's diagonal, six at least.
+    """
+    w = Window.partitionBy(key)
+    diagonal = F.sqrt(sum((F.pow(F.max(c).over(w) - F.min(c).over(w), F.lit(2)) for c in "xyz"), F.lit(0.0)))
+    own = F.when(diagonal <= 1e-10, 6).otherwise(F.greatest(F.lit(6), F.ceil(-F.log10(diagonal)).cast("int") + 8)) if decimals is None else F.lit(decimals)
+    verts = verts.withColumn("_unit", F.pow(F.lit(10.0), own))
+    place = [F.round(F.col(c) * F.col("_unit")) for c in "xyz"]
     return verts.withColumn("rep", F.min("vid").over(Window.partitionBy(key, *place))).select(key, "vid", "rep")
 
 
@@ -26,63 +28,15 @@ def adjacency(tris: DataFrame, key: str = KEY) -> DataFrame:
     return per_edge.where(F.size("fs") > 1).select(key, F.col("fs")[0].alias("f"), F.explode(F.slice("fs", 2, F.size("fs") - 1)).alias("g")).distinct()
 
 
-def _close(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {x: find(x) for x in list(root)}
-
-
-def components(nodes: DataFrame, pairs: DataFrame, node: str = "fid", key: str = KEY) -> DataFrame:
-    """(key, node, component): the smallest node of each node's component; nodes without a pair are their own."""
-    links = nodes.select(key, F.col(node).alias("f"), F.col(node).alias("g")).union(pairs.select(key, "f", "g"))
-
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        found = _close(list(zip(group["f"].tolist(), group["g"].tolist(), strict=True)))
-        return pd.DataFrame({key: group[key].iloc[0], node: list(found), "component": list(found.values())})
-
-    return links.groupBy(key).applyInPandas(close, f"{key} {dict(nodes.dtypes)[key]}, {node} int, component int")
-
-
-def propagate(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of one graph of pairs (f, g), by smallest labels and their labels; cut by checkpoints."""
+def propagate(pairs: DataFrame) -> DataFrame:
+    """(node, component) of one graph of pairs (f, g), by smallest labels and their labels, until none moves; cut by checkpoints."""
     both = pairs.select(F.col("f").alias("u"), F.col("g").alias("v")).union(pairs.select("g", "f")).distinct()
     label = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
         step = label.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("l"))
         moved = step.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l"))
         moved = cut(moved)
         label = moved.select("u", "l")
         if moved.where("was <> l").isEmpty():
-            break
-    return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
-
-
-def largest_body(tris_with_area: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, component, area, num_bodies): the component of most area, the first of equals."""
-    per = tris_with_area.join(labels, [key, "fid"]).groupBy(key, "component").agg(F.sum("area").alias("area"))
-    best = F.max_by(F.struct("component", "area"), F.struct(F.round("area", 6), -F.col("component")))
-    return per.groupBy(key).agg(best.alias("b"), F.count("*").alias("num_bodies")).select(key, "b.component", "b.area", "num_bodies")
-
-
-def coplanar_pairs(tris_with_normals: DataFrame, pairs: DataFrame, degrees: float = 5.0, key: str = KEY) -> DataFrame:
-    """Of adjacent pairs those whose unit normals differ by less than ``degrees``."""
-    side = lambda n: tris_with_normals.select(key, F.col("fid").alias(n), *(F.col(f"u{c}").alias(f"{n}{c}") for c in "xyz"))
-    met = pairs.join(side("f"), [key, "f"]).join(side("g"), [key, "g"])
-    return met.where(F.acos(F.expr("greatest(least(fx * gx + fy * gy + fz * gz, 1D), -1D)")) < F.radians(F.lit(degrees))).select(key, "f", "g")
-
-
-def groups(tris_with_normals: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, group, area, unit normal gx, gy, gz, centroid px, py, pz, num_triangles) of labelled triangles."""
-    met = tris_with_normals.join(labels, [key, "fid"]).withColumnRenamed("component", "group_id")
-    sums = [F.expr(f"sum(u{c} * area)").alias(f"_{c}") for c in "xyz"] + [F.expr(f"try_divide(sum(({c}0 + {c}1 + {c}2) / 3 * area), sum(area))").alias(f"p{c}") for c in "xyz"]
-    out = met.groupBy(key, "group_id").agg(F.sum("area").alias("area"), F.count("*").alias("num_triangles"), *sums).withColumn("_n", F.expr("sqrt(_x * _x + _y * _y + _z * _z)"))
-    return out.withColumns({f"g{c}": F.expr(f"_{c} / IF(_n = 0, 1D, _n)") for c in "xyz"}).drop("_x", "_y", "_z", "_n")
+            return label.select(F.col("u").alias("node"), F.col("l").alias("component"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import text as F
 from .mesh import KEY
@@ -139,7 +140,7 @@ def with_centroid(solids: DataFrame) -> DataFrame:
     return put(solids, {f"c{c}": mean(c) for c in "xyz"})
 
 
-@functions.pandas_udf("array<int>")
+@functions.pandas_udf(ArrayType(IntegerType()))
 def closed(n: pd.Series, f: pd.Series, g: pd.Series) -> pd.Series:
     """For each of n nodes the smallest one that it reaches by the pairs (f, g); a whole batch of graphs at once."""
     sizes = n.to_numpy(np.int64)

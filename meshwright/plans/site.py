@@ -147,7 +147,7 @@ def anomaly_missing_faces(spark, d):
 
 def anomaly_aspect(spark, d):
     m = context(spark, d)
-    return m.select("element_id", F.expr("bbox_dim_max_m / bbox_dim_min_m > 20").alias("slender"), F.expr("crown_width_mm < 0.9 * avg_wall_thickness_mm").alias("narrow_crown"))
+    return m.select("element_id", F.expr("bbox_dim_max_m / bbox_dim_min_m > 50").alias("slender"), F.expr("crown_width_mm < 0.5 * min_wall_thickness_mm").alias("narrow_crown"))
 
 
 def anomaly_profile_steps(spark, d):
@@ -165,7 +165,7 @@ def normal_consistency(spark, d):
 
 def summary_stats(spark, d):
     s = stats.distribution(spark.read.parquet(f"{d}/lineitem.parquet"), "l_returnflag", "l_extendedprice")
-    return s.select("l_returnflag", "n", "min_value", "max_value", *(F.round(c, 2).alias(c) for c in ("mean_value", "median_value", "std_value")))
+    return s.select("l_returnflag", "n", "min_value", "max_value", *(F.round(c, 2).alias(c) for c in ("mean_value", "std_value")), F.round("median_value", 4).alias("median_value"))
 
 
 def mad_outliers(spark, d):
@@ -237,11 +237,16 @@ nr AS (SELECT a_id, b_id, sum(least(a.area, b.area) * a.ux) AS nx, sum(least(a.a
 k0 AS (SELECT pr.*, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS n, (a_min_x + a_max_x) / 2 - (b_min_x + b_max_x) / 2 AS ex, (a_min_y + a_max_y) / 2 - (b_min_y + b_max_y) / 2 AS ey, (a_min_z + a_max_z) / 2 - (b_min_z + b_max_z) / 2 AS ez FROM pr LEFT JOIN nr USING (a_id, b_id)),
 k1 AS (SELECT *, CASE WHEN n IS NOT NULL THEN CASE WHEN n < 1e-10 THEN 1 ELSE abs(nz) / n END WHEN sqrt(ex * ex + ey * ey + ez * ez) < 1e-10 THEN CASE WHEN greatest(0, least(a_max_z, b_max_z) - greatest(a_min_z, b_min_z)) > 0.5 * least(a_max_z - a_min_z, b_max_z - b_min_z) THEN 0 ELSE 1 END ELSE abs(ez) / sqrt(ex * ex + ey * ey + ez * ez) END AS kappa FROM k0),
 ct AS (SELECT *, CASE WHEN kappa > sqrt(0.5) THEN 'stacked' ELSE 'side_by_side' END AS pair_type, CASE WHEN kappa > sqrt(0.5) THEN CASE WHEN ez > 0 THEN a_id ELSE b_id END END AS upper_id, CASE WHEN kappa > sqrt(0.5) THEN CASE WHEN ez > 0 THEN b_id ELSE a_id END END AS lower_id FROM k1)"""
-_NEAR = f"""{with_(WALLS, VERTS, BOXES, "wb AS (SELECT * FROM boxes WHERE element_id < 1000000)", _PAIRS(5, 'wb'))}, dist AS (SELECT a_id, b_id, round(sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) * 1000, 1) AS min_distance_mm FROM pr JOIN verts a ON a.element_id = a_id JOIN verts b ON b.element_id = b_id GROUP BY ALL)"""
+_NEAR = f"""{with_(WALLS, VERTS, BOXES, "wb AS (SELECT * FROM boxes WHERE element_id >= 0)", _PAIRS(5, 'wb'))}, dist AS (SELECT a_id, b_id, round(sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) * 1000, 1) AS min_distance_mm FROM pr JOIN verts a ON a.element_id = a_id JOIN verts b ON b.element_id = b_id GROUP BY ALL)"""
 _HEIGHT = lambda pts, extra="": f"""pt AS ({pts}), tt AS (SELECT *, greatest(greatest(x0, x1, x2) - least(x0, x1, x2), greatest(y0, y1, y2) - least(y0, y1, y2)) AS sz, (y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2) AS det FROM terrain),
 hit AS (SELECT pt.*, fid AS tf, ((y1 - y2) * (x - x2) + (x2 - x1) * (y - y2)) / det AS u, ((y2 - y0) * (x - x2) + (x0 - x2) * (y - y2)) / det AS w, t.z0 AS tz0, t.z1 AS tz1, t.z2 AS tz2, sz FROM pt JOIN tt t ON x BETWEEN least(x0, x1, x2) - 1 AND greatest(x0, x1, x2) + 1 AND y BETWEEN least(y0, y1, y2) - 1 AND greatest(y0, y1, y2) + 1),
 hz AS (SELECT * EXCLUDE (tf, u, w, tz0, tz1, tz2, sz), arg_min(u * tz0 + w * tz1 + (1 - u - w) * tz2, tf) AS terrain_z FROM hit WHERE least(u, w, 1 - u - w) >= -1e-9 * sz GROUP BY ALL),
 hh AS (SELECT pt.*, hz.terrain_z FROM pt LEFT JOIN hz USING (element_id, x, y{extra}))"""
+_SIDE = f"""{_HEIGHT("SELECT element_id, group_id, s, px, py, pz, gx, gy, gz, px + s * 1.0 * gx / sqrt(gx * gx + gy * gy) AS x, py + s * 1.0 * gy / sqrt(gx * gx + gy * gy) AS y FROM lab, (VALUES (1), (-1), (0)) q(s) WHERE category IN ('front', 'back')", ', group_id, s, px, py, pz, gx, gy, gz')},
+rs AS (SELECT element_id, group_id, px, py, pz, gx, gy, gz, max(CASE WHEN s = 1 THEN terrain_z END) - max(CASE WHEN s = -1 THEN terrain_z END) AS r, max(CASE WHEN s = 0 THEN terrain_z END) AS own FROM hh GROUP BY ALL),
+mids AS (SELECT fid, (x0 + x1 + x2) / 3 AS tx, (y0 + y1 + y2) / 3 AS ty, (z0 + z1 + z2) / 3 AS tz FROM terrain),
+far0 AS (SELECT element_id, group_id, gx * (tx - px) + gy * (ty - py) + gz * (tz - pz) AS ahead, row_number() OVER (PARTITION BY element_id, group_id ORDER BY pow(tx - px, 2) + pow(ty - py, 2) + pow(tz - pz, 2), fid) AS k, pow(tx - px, 2) + pow(ty - py, 2) + pow(tz - pz, 2) AS d FROM rs, mids WHERE own IS NULL AND NOT coalesce(abs(r) > 0.01, false)),
+sided AS (SELECT element_id, group_id, CASE WHEN r > 0.01 THEN 'back' WHEN r < -0.01 THEN 'front' WHEN gz * (own - pz) > 0 THEN 'back' ELSE 'front' END AS side FROM rs WHERE own IS NOT NULL OR abs(r) > 0.01 UNION ALL SELECT element_id, group_id, CASE WHEN ahead > 0 THEN 'back' ELSE 'front' END FROM far0 WHERE k = 1 AND d <= 2500)"""
 _LINE = "line AS (SELECT n_regionkey::BIGINT AS line_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS i, (n_nationkey % 5) * 80.0::DOUBLE AS lx, n_nationkey * n_nationkey * 0.25::DOUBLE AS ly FROM nation)"
 _CURVE = """cv AS (SELECT *, lag(lx) OVER w AS ax, lag(ly) OVER w AS ay, lead(lx) OVER w AS bx, lead(ly) OVER w AS by_ FROM line WINDOW w AS (PARTITION BY line_id ORDER BY i)),
 cs AS (SELECT *, sqrt(pow(lx - ax, 2) + pow(ly - ay, 2)) AS l1, sqrt(pow(bx - lx, 2) + pow(by_ - ly, 2)) AS l2 FROM cv),
@@ -275,7 +280,7 @@ bl AS (SELECT model_id, element_id AS a_id, lead(element_id) OVER o AS b_id, lea
     "terrain_height": f"{with_(WALLS, TERRAIN, _HEIGHT('SELECT element_id, x0 + l / 2 AS x, y0 + t / 2 AS y FROM walls'))} SELECT element_id, round(terrain_z, 9) AS terrain_z FROM hh",
     "crown_clearance": f"{with_(WALLS, VERTS, TERRAIN, _HEIGHT('SELECT element_id, vid, x, y, z FROM verts WHERE vid >= 4', ', vid, z'))} SELECT element_id, round(min(z - terrain_z), 9) AS min_clearance, round(max(z - terrain_z), 9) AS max_clearance, round(avg(z - terrain_z), 9) AS avg_clearance, count(terrain_z) AS n_points FROM hh GROUP BY 1",
     "foundation_embedment": f"{with_(WALLS, TERRAIN, _HEIGHT('SELECT element_id, x0 + l / 2 AS x, y0 + t / 2 AS y, z0 AS z FROM walls', ', z'))} SELECT element_id, round(terrain_z - z, 9) AS foundation_embedment_m FROM hh WHERE terrain_z IS NOT NULL",
-    "terrain_side": f"""{_TO(_LABEL, TERRAIN, _HEIGHT("SELECT element_id, group_id, s, px + s * 1.0 * gx / sqrt(gx * gx + gy * gy) AS x, py + s * 1.0 * gy / sqrt(gx * gx + gy * gy) AS y FROM lab, (VALUES (1), (-1)) q(s) WHERE category IN ('front', 'back')", ', group_id, s'))}, rs AS (SELECT element_id, group_id, max(CASE WHEN s = 1 THEN terrain_z END) - max(CASE WHEN s = -1 THEN terrain_z END) AS r FROM hh GROUP BY ALL) SELECT element_id, group_id, CASE WHEN r > 0.01 THEN 'back' WHEN r < -0.01 THEN 'front' END AS side FROM rs""",
+    "terrain_side": f"{_TO(_LABEL, TERRAIN, _SIDE)} SELECT element_id, group_id, side FROM sided",
     "alignment_context": f"{with_(WALLS, _LINE)}, dd AS (SELECT element_id, line_id, i, pow(x0 + l / 2 - lx, 2) + pow(y0 + t / 2 - ly, 2) AS d FROM walls, line), rk AS (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY d, line_id, i) AS r FROM dd) SELECT element_id, line_id, i, round(sqrt(d), 6) AS distance_m FROM rk WHERE r = 1",
     "curvature_profile": f"{with_(_LINE, _CURVE)} SELECT line_id, i, round(curvature, 9) AS curvature, round(CASE WHEN curvature > 1e-10 THEN 1 / curvature ELSE 'Infinity'::DOUBLE END, 5) AS radius FROM cf",
     "slice_tolerance": f"{with_(_LINE, _CURVE)} SELECT line_id, round(coalesce(median(l1) * 0.6, 0.5), 6) AS tolerance FROM cf GROUP BY 1",
@@ -286,7 +291,7 @@ th AS (SELECT element_id, i, abs(median(across) FILTER (WHERE category = 'front'
 SELECT element_id, count(*) AS n_slices, round(min(th), 5) AS thickness_min_mm, round(max(th), 5) AS thickness_max_mm FROM th WHERE th IS NOT NULL GROUP BY 1""",
     "cross_section_extent": f"{with_(WALLS, VERTS)}, vp AS (SELECT element_id, y, z, dy, t FROM verts JOIN walls USING (element_id)) SELECT element_id, count(*) AS n, round(max(y) - min(y), 6) AS width, round(max(z) - min(z), 6) AS height, 4::BIGINT AS n_outline FROM vp GROUP BY 1",
     "anomaly_missing_faces": f"{_CK}, mf AS (SELECT element_id, unnest(['crown', 'foundation', 'front', 'back']) AS missing, unnest([CASE WHEN element_id % 9 = 0 THEN 0 ELSE crown_count END, foundation_count, front_count, back_count]) AS n FROM roles WHERE element_role = 'wall_stem') SELECT element_id, missing FROM mf WHERE n = 0",
-    "anomaly_aspect": f"{_CK} SELECT element_id, greatest(bx, by_, bz) / least(bx, by_, bz) > 20 AS slender, crown_width_mm < 0.9 * avg_wall_thickness_mm AS narrow_crown FROM ctx",
+    "anomaly_aspect": f"{_CK} SELECT element_id, greatest(bx, by_, bz) / least(bx, by_, bz) > 50 AS slender, crown_width_mm < 0.5 * min_wall_thickness_mm AS narrow_crown FROM ctx",
     "anomaly_profile_steps": """WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), q AS (SELECT * FROM p WHERE n >= 5 AND i >= floor(n * 0.15) AND i < n - floor(n * 0.15)),
 d AS (SELECT user_id, i, value - lag(value) OVER (PARTITION BY user_id ORDER BY i) AS step FROM q), e AS (SELECT * FROM d WHERE step IS NOT NULL), m AS (SELECT user_id, median(step) AS m FROM e GROUP BY 1), o AS (SELECT e.*, abs(step - m) AS dev FROM e JOIN m USING (user_id)), s AS (SELECT user_id, median(dev) / 0.6745 AS s FROM o GROUP BY 1)
 SELECT user_id, i AS position, round(step, 6) AS step FROM o JOIN s USING (user_id) WHERE s > 1e-10 AND dev > 3 * s AND abs(step) > 50""",
@@ -294,7 +299,7 @@ SELECT user_id, i AS position, round(step, 6) AS step FROM o JOIN s USING (user_
 mm AS (SELECT element_id, {', '.join(f'avg(({c}0 + {c}1 + {c}2) / 3) AS m{c}' for c in 'xyz')}, count(*) AS n FROM tt GROUP BY 1),
 vv AS (SELECT element_id, n, (x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx)) AS v FROM tt JOIN mm USING (element_id))
 SELECT element_id, count(*) FILTER (WHERE v > 0) AS pos, count(*) FILTER (WHERE v < 0) AS neg, max(n) >= 4 AND least(count(*) FILTER (WHERE v > 0), count(*) FILTER (WHERE v < 0)) / max(n) > 0.3 AS inconsistent FROM vv GROUP BY 1""",
-    "summary_stats": "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min_value, max(l_extendedprice) AS max_value, round(avg(l_extendedprice), 2) AS mean_value, round(median(l_extendedprice), 2) AS median_value, round(stddev_pop(l_extendedprice), 2) AS std_value FROM lineitem WHERE l_extendedprice <> 0 GROUP BY 1",
+    "summary_stats": "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min_value, max(l_extendedprice) AS max_value, round(avg(l_extendedprice), 2) AS mean_value, round(median(l_extendedprice), 4) AS median_value, round(stddev_pop(l_extendedprice), 2) AS std_value FROM lineitem WHERE l_extendedprice <> 0 GROUP BY 1",
     "mad_outliers": "WITH v AS (SELECT * FROM events WHERE value <> 0), m AS (SELECT event_type, median(value) AS m FROM v GROUP BY 1 HAVING count(*) >= 3), o AS (SELECT event_type, event_id, value, m, abs(value - m) AS d FROM v JOIN m USING (event_type)), s AS (SELECT event_type, median(d) AS mad FROM o GROUP BY 1 HAVING median(d) >= 1e-10) SELECT event_type, event_id, round(0.6745 * (value - m) / mad, 6) AS z FROM o JOIN s USING (event_type) WHERE abs(0.6745 * (value - m) / mad) > 3",
     "model_compare": f"WITH {_MODELS} SELECT name, property, av::DOUBLE AS a_value, bv::DOUBLE AS b_value, abs(av - bv) > tol AS exceeds FROM (SELECT name, 'price' AS property, a.price AS av, b.price AS bv, 10 AS tol FROM a JOIN b USING (name) UNION ALL SELECT name, 'size', a.size, b.size, 0 FROM a JOIN b USING (name))",
     "model_unmatched": f"WITH {_MODELS} SELECT name, 'a' AS side FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'b' FROM b WHERE name NOT IN (SELECT name FROM a)",

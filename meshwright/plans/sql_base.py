@@ -19,7 +19,7 @@ NORMALS = """norms AS (SELECT *, nx / coalesce(nullif(len, 0), 1) AS ux, ny / co
   SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx,
   (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM tris)))"""
 BOXES = """boxes AS (SELECT element_id, x0 AS min_x, y0 AS min_y, z0 AS min_z, x0 + l AS max_x, y0 + t AS max_y, z0 + h + dz AS max_z FROM walls
-  UNION ALL SELECT element_id + 1000000, x0, y0 - 0.25, z0 - 0.5 - g, x0 + l, y0 + t + 0.25, z0 - g FROM (SELECT *, CASE WHEN element_id % 2 = 0 THEN 0.125 ELSE 0.0 END::DOUBLE AS g FROM walls) WHERE element_id % 5 = 0)"""
+  UNION ALL SELECT -1 - element_id, x0, y0 - 0.25, z0 - 0.5 - g, x0 + l, y0 + t + 0.25, z0 - g FROM (SELECT *, CASE WHEN element_id % 2 = 0 THEN 0.125 ELSE 0.0 END::DOUBLE AS g FROM walls) WHERE element_id % 5 = 0)"""
 TERRAIN = """grid AS (SELECT n_nationkey AS k, (n_nationkey % 5) * 80.0::DOUBLE AS x, (n_nationkey // 5) * 30.0::DOUBLE AS y, n_regionkey * 0.5::DOUBLE AS z FROM nation),
 cells AS (SELECT ((k // 5) * 4 + k % 5) * 2 AS fid, k AS a, k + 1 AS b, k + 6 AS c FROM grid WHERE k % 5 < 4 AND k < 20
   UNION ALL SELECT ((k // 5) * 4 + k % 5) * 2 + 1, k, k + 6, k + 5 FROM grid WHERE k % 5 < 4 AND k < 20),

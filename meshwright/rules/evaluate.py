@@ -35,6 +35,31 @@ def compared(check: str) -> tuple[str, str, str] | None:
     return None
 
 
+#: What to do where a value is too low, or too high (fixed values).
+FIXES = {
+    "crown_width_mm": ("verbreitern", "verschmalen"),
+    "foundation_width_mm": ("verbreitern", "verschmalen"),
+    "min_wall_thickness_mm": ("verdicken", "verschlanken"),
+    "wall_height_m": ("erhöhen", "niedriger machen"),
+    "crown_slope_percent": ("steiler neigen", "flacher neigen"),
+    "cross_slope_max_pct": ("Quergefälle erhöhen", "Quergefälle reduzieren"),
+    "long_slope_max_pct": ("Längsgefälle erhöhen", "Längsgefälle reduzieren"),
+    "front_inclination_ratio": ("Anzug erhöhen", "Anzug reduzieren"),
+    "min_radius_m": ("Radius vergrößern", "Radius verkleinern"),
+    "foundation_embedment_m": ("tiefer einbinden", "höher einbinden"),
+    "min_distance_to_nearest_mm": ("Abstand vergrößern", "Abstand verringern"),
+}
+
+
+def fix(name: str, op: str, actual: Column, limit: float) -> Column | None:
+    """Towards the limit, by how much; null where the value is on its right side."""
+    if name not in FIXES or op not in (">=", ">", "<=", "<"):
+        return None
+    low = op in (">=", ">")
+    wrong = actual < limit if low else actual > limit
+    return F.when(wrong, F.format_string(FIXES[name][0 if low else 1] + " (~%.1f Einheiten)", F.abs(actual.cast("double") - F.lit(limit))))
+
+
 def _number(text: str) -> float | None:
     try:
         return float(text)
@@ -53,6 +78,8 @@ def message(rule: dict, status: Column, types: dict[str, str], uncertainty: str
         parts.append(F.lit(f"required {op} {right}"))
         if limit is not None:
             parts.append(F.format_string("off by %.3f", F.abs(actual - F.lit(limit))))
+            if not rule.get("fix_hint") and (todo := fix(name, op, actual, limit)) is not None:
+                parts.append(todo)
             if uncertainty in types and name.endswith(("_mm", "_pct")):
                 margin = F.col(uncertainty) * (0.01 if name.endswith("_pct") else 1.0)
                 parts.append(F.when(F.abs(actual - F.lit(limit)) < margin, F.format_string("within uncertainty %.3f", margin)))

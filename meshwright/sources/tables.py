@@ -79,9 +79,43 @@ def wall_boxes(walls: DataFrame) -> DataFrame:
 
 
 def boxes(walls: DataFrame) -> DataFrame:
-    """Bounding boxes of walls and of foundation slabs: every fifth part has one, id + 1000000, some an eighth lower."""
+    """Bounding boxes of walls and of foundation slabs: every fifth part has one, of id -1 - id, some an eighth lower."""
     gap = "IF(element_id % 2 = 0, 0.125D, 0.0D)"
     slab = walls.where("element_id % 5 = 0").selectExpr(
-        "element_id + 1000000 AS element_id", "x0 AS min_x", "y0 - 0.25D AS min_y", f"z0 - 0.5D - {gap} AS min_z", "x0 + l AS max_x", "y0 + t + 0.25D AS max_y", f"z0 - {gap} AS max_z"
+        "-1 - element_id AS element_id", "x0 AS min_x", "y0 - 0.25D AS min_y", f"z0 - 0.5D - {gap} AS min_z", "x0 + l AS max_x", "y0 + t + 0.25D AS max_y", f"z0 - {gap} AS max_z"
     )
     return wall_boxes(walls).union(slab)
+
+
+def prisms(walls: DataFrame, outline: list[tuple[str, str]], caps: list[tuple[int, int, int]]) -> DataFrame:
+    """(element_id, t, v): outlines (y, z), counter-clockwise, drawn out along x from x0 by l; ``caps``: the outline's triangles."""
+    n = len(outline)
+    points = [f"named_struct('x', x0{' + l' if far else ''}, 'y', y0 + ({y}), 'z', z0 + ({z}))" for far in (0, 1) for y, z in outline]
+    faces = [f for i in range(n) for f in ((i, (i + 1) % n, n + (i + 1) % n), (i, n + (i + 1) % n, n + i))] + [(c, b, a) for a, b, c in caps] + [(n + a, n + b, n + c) for a, b, c in caps]
+    listed = ", ".join(f"named_struct('fid', {i}, 'a', {a}, 'b', {b}, 'c', {c})" for i, (a, b, c) in enumerate(faces))
+    corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
+    rows = walls.selectExpr("element_id", f"array({', '.join(points)}) AS p", f"array({listed}) AS f")
+    return rows.selectExpr("element_id", f"transform(f, f -> named_struct('fid', f.fid, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")
+
+
+def stepped(walls: DataFrame) -> DataFrame:
+    """Walls with a step of half a metre at half their height, behind the stem."""
+    return prisms(walls, [("0D", "0D"), ("t + 0.5D", "0D"), ("t + 0.5D", "h / 2"), ("t", "h / 2"), ("t", "h"), ("0D", "h")], [(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 5)])
+
+
+def folded(walls: DataFrame) -> DataFrame:
+    """Walls half a metre thicker, whose front leans back above half their height."""
+    return prisms(walls, [("0D", "0D"), ("t + 0.5D", "0D"), ("t + 0.5D", "h"), ("h / 16", "h"), ("0D", "h / 2")], [(0, 1, 2), (0, 2, 4), (2, 3, 4)])
+
+
+def bent(walls: DataFrame, segments: int = 24, turn: float = 90.0) -> DataFrame:
+    """(element_id, t, v): walls along an arc of radius 2 l, drawn in equal segments."""
+    side = f"transform(sequence(0, {segments}), i -> radians({turn}D) * i / {segments})"
+    place = lambda r, z: f"named_struct('x', x0 + ({r}) * cos(a), 'y', y0 + ({r}) * sin(a), 'z', z0 + {z})"
+    points = f"flatten(transform({side}, a -> array({place('2 * l - t / 2', '0D')}, {place('2 * l + t / 2', '0D')}, {place('2 * l - t / 2', 'h')}, {place('2 * l + t / 2', 'h')})))"
+    quads = [(0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    part = ", ".join(f"named_struct('a', 4 * i + {p}, 'b', 4 * i + {q}, 'c', 4 * i + {r})" for a, b, c, d in quads for p, q, r in ((a, b, c), (a, c, d)))
+    ends = ", ".join(f"named_struct('a', {a}, 'b', {b}, 'c', {c})" for a, b, c in [(0, 1, 3), (0, 3, 2), *((4 * segments + x, 4 * segments + y, 4 * segments + z) for x, y, z in ((0, 2, 3), (0, 3, 1)))])
+    corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
+    rows = walls.selectExpr("element_id", f"{points} AS p", f"concat(flatten(transform(sequence(0, {segments - 1}), i -> array({part}))), array({ends})) AS f")
+    return rows.selectExpr("element_id", f"transform(f, (f, i) -> named_struct('fid', i, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")
