@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import classify, graph, measure, mesh, pairs, stats, terrain
+from meshwright.operators import classify, context, graph, measure, pairs, solid, stats, terrain
 from meshwright.report import sinks
 from meshwright.rules.compiler import RuleError, compile_rule
 from meshwright.rules.evaluate import evaluate, summary
@@ -101,9 +101,70 @@ def test_rulesets():
 
 def test_far_cube_volume(spark):
     w = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 2.6e6, 1.2e6, 500.0, 0.0, 0.0)], "element_id int, l double, t double, h double, x0 double, y0 double, z0 double, dy double, dz double")
-    t = tables.triangles(w)
-    assert mesh.centred_volume(t).first()["volume"] == pytest.approx(1, abs=1e-9)
-    assert mesh.level1(tables.vertices(w), t).first()["total_area"] == pytest.approx(6, abs=1e-6)
+    row = solid.faced(tables.meshes(w)).selectExpr("*", f"{solid.total('t', lambda x: x['area'])} AS area").first()
+    assert row["volume"] == pytest.approx(1, abs=1e-9) and row["area"] == pytest.approx(6, abs=1e-6)
+
+
+def test_rows_of_triangles_are_the_derived_ones(spark):
+    w = tables.walls(spark, "/root/testdata/sf0.001").limit(20)
+    a, b = (solid.faced(x).select("element_id", "volume", "is_watertight", "size_z").collect() for x in (tables.meshes(w), solid.rows(tables.triangles(w))))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_rules_take_one_scan_and_no_shuffle(spark):
+    from meshwright.plans import walls
+
+    plan = walls.rule_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0 and plan.count("FileScan") == 1
+
+
+def test_components_of_a_batch(spark):
+    import pandas as pd
+
+    close = solid.closed.func
+    got = close(pd.Series([5, 1, 4]), pd.Series([[0, 3], [], [2, 1, 0]]), pd.Series([[1, 4], [], [3, 2, 1]]))
+    assert [list(x) for x in got] == [[0, 0, 2, 3, 3], [0], [0, 0, 0, 0]]
+    chain = list(range(2000))
+    assert set(close(pd.Series([2001]), pd.Series([chain[::-1]]), pd.Series([[x + 1 for x in chain[::-1]]]))[0]) == {0}
+
+
+def test_topmost_and_hull(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.1, 2.0]), (2, [0.0, 1.0, 2.0, 3.0]), (3, [5.0]), (4, [1.0, 1.0]), (5, [])], "k int, z array<double>")
+    got = {r["k"]: r["u"] for r in rows.selectExpr("k", f"{solid.topmost(solid.Column('z'), lambda z: z)} AS u").collect()}
+    assert got == {1: [2.0], 2: [0.0, 1.0, 2.0, 3.0], 3: [5.0], 4: [1.0, 1.0], 5: []}
+    pts = spark.createDataFrame([([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (1.0, 1.0), (1.0, 0.0), (2.0, 2.0)],), ([(0.0, 0.0), (1.0, 1.0)],)], "p array<struct<x:double,y:double>>")
+    assert [len(r[0]) for r in pts.selectExpr(f"{measure.hull(solid.Column('p'))} AS h").collect()] == [4, 2]
+
+
+def test_centreline_of_polylines(spark):
+    import math as m
+
+    arc = [(10 * m.cos(a / 10), 10 * m.sin(a / 10)) for a in range(11)]
+    lines = spark.createDataFrame([(1, arc), (2, [(0.0, 0.0), (3.0, 4.0)]), (3, [(0.0, 0.0)])], "k int, points array<struct<x:double,y:double>>")
+    got = {r["k"]: r for r in measure.with_curvature(solid.from_polyline(lines)).collect()}
+    assert set(got) == {1, 2} and got[1]["is_curved"] and not got[2]["is_curved"] and got[2]["wall_length_m"] == 5
+    assert got[1]["min_radius_m"] == pytest.approx(10, abs=0.05) and got[1]["mean_radius_m"] == pytest.approx(10, abs=0.05) and got[2]["min_radius_m"] is None
+
+
+def test_nearest_terrain_point(spark):
+    ground = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 3.0, 0.0), (1, 60.0, 0.0, 0.0, 63.0, 0.0, 0.0, 60.0, 3.0, 0.0)], "fid int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz"))
+    p = spark.createDataFrame([(1, 30.0, 1.0, 0.0), (2, 200.0, 0.0, 0.0), (3, 55.0, 1.0, 5.0), (4, -48.0, 1.0, 0.0)], "id int, x double, y double, z double")
+    assert {r["id"]: r["tx"] for r in terrain.nearest_point(p, ground).collect()} == {1: 1.0, 2: None, 3: 61.0, 4: 1.0}
+
+
+def test_context_of_stacked_pairs_takes_the_last(spark):
+    box = "element_id int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    b = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 4.0, 1.0, 3.0), (2, -0.5, -0.5, -0.5, 4.5, 1.5, 0.0), (3, 0.0, 0.0, 3.0, 4.0, 1.0, 6.0)], box)
+    w = b.selectExpr("element_id", "max_x - min_x AS l", "max_y - min_y AS t", "max_z - min_z AS h", "min_x AS x0", "min_y AS y0", "min_z AS z0", "0D AS dy", "0D AS dz")
+    faces = solid.faced(tables.meshes(w)).select("element_id", F.inline("t"))
+    got = {r["element_id"]: (r["foundation_extends_beyond_wall"], r["wall_foundation_gap_mm"]) for r in context.stacked(pairs.contact(pairs.box_pairs(b, 1.0), faces)).collect()}
+    assert got == {1: (True, 0.0), 2: (True, 0.0), 3: (True, 0.0)}
+
+
+def test_fix_directions_and_messages(spark):
+    row = spark.createDataFrame([(1, 250.0, 4.0)], "element_id int, crown_width_mm double, crown_slope_percent double")
+    got = [r["message"] for r in evaluate(row, {"level_1": [{"id": "A", "check": "crown_width_mm >= 300"}, {"id": "B", "check": "crown_slope_percent <= 3.5"}]}).collect()]
+    assert "verbreitern (~50.0 Einheiten)" in got[0] and "flacher neigen (~0.5 Einheiten)" in got[1]
 
 
 def test_propagate(spark):
@@ -112,10 +173,9 @@ def test_propagate(spark):
 
 
 def test_empty_meshes(spark):
-    t = mesh.normals(spark.createDataFrame([], "element_id int, fid int, a int, b int, c int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz")))
-    labels = graph.components(t, graph.adjacency(t))
-    labelled = classify.label_groups(graph.groups(t, labels), classify.wall_axis(t))
-    assert measure.plumbness(labelled).count() == mesh.quality(t).count() == 0
+    t = spark.createDataFrame([], "element_id int, fid int, a int, b int, c int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz"))
+    s = classify.classified(solid.rows(t))
+    assert measure.context(s).count() == measure.planarity(s).count() == 0
 
 
 def test_boxes_apart_and_polygon(spark):
@@ -145,7 +205,10 @@ def test_reports(spark, tmp_path, models):
     m, c = models.measurements, models.checks()
     doc = json.loads(sinks.json_report(m, c).where("element_id = 'metre#16'").first()["report"])
     assert doc["measurements"]["front_inclination_ratio"] == "vertical" and len(doc["checks"]) == 18
-    n = sinks.write_bcf(c.withColumn("element_id", F.lit(7)), str(tmp_path / "a.bcf"))
+    n = sinks.write_bcf(c, str(tmp_path / "a.bcf"))
+    assert len(set(zipfile.ZipFile(tmp_path / "a.bcf").namelist())) == n + 1
+    scene = json.loads(sinks.viewer(models.solids, c).where("element_id = 'metre#16'").first()["scene"])
+    assert len(scene["mesh"]["vertices"]) == 8 and len(scene["checks"]) == 18
     assert n and len(zipfile.ZipFile(tmp_path / "a.bcf").namelist()) == n + 1
     sinks.write_ids(ruleset("retaining_wall"), str(tmp_path / "a.ids"))
     assert "minInclusive" in (tmp_path / "a.ids").read_text()
