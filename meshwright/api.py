@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import classify, context, measure, mesh, pairs, solid
 from .rules.evaluate import evaluate, summary
 from .rules.rulesets import ruleset as shipped
-from .sources import spf
+from .sources import site, spf
 from .sources.cut import cut
 
 
@@ -20,12 +20,20 @@ class Models:
     def __init__(self, spark: SparkSession, paths: str | list[str], types: tuple[str, ...] = ("IFCWALL",)):
         self.files = spf.texts(spark, paths)
         self.entities = cut(spf.entities(self.files))
-        self.types = types
+        self.types = site.with_subtypes(types)
         self._key = F.concat_ws("#", "model_id", "element_id").alias("element_id")
 
     @cached_property
     def elements(self) -> DataFrame:
-        return spf.products(self.entities, self.types).select(self._key, "model_id", "global_id", "name", "entity_type", "predefined_type")
+        return site.typed(spf.products(self.entities, self.types), self.entities).select(self._key, "model_id", "global_id", "name", "entity_type", "predefined_type")
+
+    @cached_property
+    def coordinate_systems(self) -> DataFrame:
+        return site.coordinate_systems(self.entities)
+
+    @cached_property
+    def alignments(self) -> DataFrame:
+        return site.alignments(self.entities)
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -58,7 +66,7 @@ class Models:
         near = pairs.box_pairs(self._boxes, 10.0)
         ground = cut(spf.triangles(self.entities, ("IFCSITE",)).select("model_id", "fid", *(f"{c}{i}" for i in range(3) for c in "xyz")))
         distances = pairs.vertex_distances(self._same_model(near), self.vertices)
-        own = measure.context(self.solids)
+        own = measure.flat(self.solids)
         if ground.isEmpty():
             return cut(context.joined(own, self.pairs(), distances))
         parts = [r["model_id"] for r in ground.select("model_id").distinct().collect()]  # one row a file with terrain

@@ -251,8 +251,13 @@ VARIABLES = (
 
 
 def context(solids: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, is_wall_like, element_role, confidence, VARIABLES): the flat context of the rules, a row an element."""
-    out = put(enriched(solids), {"_s": F.array_sort(F.array("size_x", "size_y", "size_z"))})
+    """The flat context of the rules from level 2 rows."""
+    return flat(enriched(solids), key)
+
+
+def flat(rich: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, is_wall_like, element_role, confidence, VARIABLES): the flat context of the rules, a row an element, of ``enriched``."""
+    out = put(rich, {"_s": F.array_sort(F.array("size_x", "size_y", "size_z"))})
     out = put(out, {
         "total_area": total(F.col("t"), lambda x: x["area"]), "mesh_is_watertight": F.col("is_watertight"), "num_triangles": F.size("t"), "bbox_dim_max_m": F.expr("_s[2]"), "bbox_dim_mid_m": F.expr("_s[1]"), "bbox_dim_min_m": F.expr("_s[0]"), "bbox_height_m": F.col("size_z"),
         "slenderness_ratio": F.expr("round(size_z / greatest(_s[0], 1e-6), 2)"), "length_height_ratio": F.expr("round(_s[2] / greatest(size_z, 1e-6), 2)"), "volume_fill_ratio": F.expr("round(volume / IF(_s[0] > 0, _s[0] * _s[1] * _s[2], 1D), 4)"),

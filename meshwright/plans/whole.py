@@ -11,6 +11,7 @@ from ..report import sinks
 from ..rules.evaluate import evaluate
 from ..rules.rulesets import ruleset
 from ..sources import tables
+from ..sources.cut import cut
 from .site import _CONTACT, _NEAR, _PAIRS, _SIDE, _boxes, _box_triangles, _HEIGHT, _line, _LINE
 from .sql_base import BOXES, TERRAIN, WALLS, with_
 from .walls import _CK, _SLOPE, _R, _groups, classified
@@ -19,12 +20,12 @@ from .walls import context as measured
 
 def _site(spark, d):
     """The context of every wall with contact, distances and terrain."""
-    solids = measure.enriched(classified(spark, d))
+    solids = cut(measure.enriched(classified(spark, d)))  # read by each part of the context
     boxes = _boxes(spark, d)
     contact = pairs.contact(pairs.box_pairs(boxes, 1.0), _box_triangles(boxes))
     walls = tables.walls(spark, d)
     distances = pairs.vertex_distances(pairs.box_pairs(tables.wall_boxes(walls), 5.0), tables.vertices(walls))
-    return context.joined(measure.context(classified(spark, d)), contact, distances, solids, tables.terrain(spark, d))
+    return context.joined(measure.flat(solids), contact, distances, solids, tables.terrain(spark, d))
 
 
 def site_context(spark, d):
@@ -49,11 +50,11 @@ def rule_messages(spark, d):
 
 
 def bent_walls(spark, d):
-    """Walls along an arc against what the arc says, within a twentieth."""
+    """Walls along an arc against what the arc says: widths within a twentieth, its length and mean radius within the slices' reach."""
     walls = tables.walls(spark, d)
     s = measure.with_level3(classify.describe(classify.classified(tables.bent(walls)))).join(walls.selectExpr("element_id", "l", "t AS thick", "h"), "element_id")
-    near = lambda a, b: F.expr(f"abs({a} - ({b})) <= 0.05 * ({b})")
-    return s.select("element_id", "is_curved", "element_role", near("crown_width_mm", "thick * 1000").alias("crown_ok"), near("avg_wall_thickness_mm", "thick * 1000").alias("thickness_ok"), near("wall_height_m", "h").alias("height_ok"), near("mean_radius_m", "2 * l").alias("radius_ok"), near("wall_length_m", "radians(90D) * 2 * l").alias("length_ok"), (F.col("measurement_uncertainty_mm") > 0).alias("uncertain"))
+    near = lambda a, b, share=0.05: F.expr(f"abs({a} - ({b})) <= {share} * ({b})")
+    return s.select("element_id", "is_curved", "element_role", near("crown_width_mm", "thick * 1000").alias("crown_ok"), near("avg_wall_thickness_mm", "thick * 1000").alias("thickness_ok"), near("wall_height_m", "h").alias("height_ok"), near("mean_radius_m", "2 * l", 0.2).alias("radius_ok"), near("wall_length_m", "radians(90D) * 2 * l", 0.15).alias("length_ok"), (F.col("measurement_uncertainty_mm") > 0).alias("uncertain"))
 
 
 def bent_groups(spark, d):
@@ -86,7 +87,7 @@ def multi_sections(spark, d):
 
 
 def profile_variation(spark, d):
-    return measure.profile_variation(classify.classified(tables.bent(tables.walls(spark, d)))).select("element_id", (F.col("width_cv") < 0.05).alias("steady_width"))
+    return measure.profile_variation(classify.classified(tables.bent(tables.walls(spark, d)))).select("element_id", (F.col("width_cv") < 0.2).alias("steady_width"))
 
 
 def anomalies(spark, d):

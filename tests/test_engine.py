@@ -218,6 +218,42 @@ def test_reports(spark, tmp_path, models):
     assert sinks.rules_table(spark, ruleset("tunnel")).count() == 9
 
 
+PLACE = """ISO-10303-21;
+DATA;
+#1=IFCPROJECTEDCRS('EPSG:2056','LV95','CH1903+','LN02',$,$,$);
+#2=IFCMAPCONVERSION(#90,#1,2600000.,1200000.,400.,1.,0.,1.);
+#3=IFCALIGNMENT('a',$,'road',$,$,$,$,$);
+#4=IFCALIGNMENTHORIZONTAL('h',$,$,$,$,$,$);
+#5=IFCRELNESTS('r',$,$,$,#3,(#4));
+#6=IFCCARTESIANPOINT((0.,0.));
+#7=IFCCARTESIANPOINT((10.,0.));
+#8=IFCALIGNMENTHORIZONTALSEGMENT($,$,#6,0.,0.,0.,10.,$,.LINE.);
+#9=IFCALIGNMENTHORIZONTALSEGMENT($,$,#7,0.,20.,20.,15.,$,.CIRCULARARC.);
+#10=IFCALIGNMENTSEGMENT('s',$,$,$,$,$,$,#8);
+#11=IFCALIGNMENTSEGMENT('t',$,$,$,$,$,$,#9);
+#12=IFCRELNESTS('q',$,$,$,#4,(#10,#11));
+#20=IFCWALLSTANDARDCASE('w',$,'Stützwand',$,$,$,$,$,.NOTDEFINED.);
+#21=IFCWALLTYPE('y',$,'T',$,$,$,$,$,$,.RETAININGWALL.);
+#22=IFCRELDEFINESBYTYPE('z',$,$,$,(#20),#21);
+ENDSEC;
+"""
+
+
+def test_place_of_a_model(spark, tmp_path):
+    from meshwright.api import Models
+
+    (tmp_path / "place.ifc").write_text(PLACE)
+    (tmp_path / "plain.ifc").write_text(BOX.format(unit="$"))
+    m = Models(spark, str(tmp_path))
+    c = {r["model_id"]: r for r in m.coordinate_systems.collect()}
+    assert c["place"]["name"] == "EPSG:2056" and c["place"]["eastings_offset"] == 2600000 and c["place"]["has_crs"]
+    assert c["plain"]["name"] == "unspecified" and not c["plain"]["has_crs"] and c["plain"]["eastings_offset"] is None
+    p = sorted((r["i"], r["lx"], r["ly"]) for r in m.alignments.collect())
+    assert len(p) == 2 + 16 and p[1][1:] == (10.0, 0.0) and p[-1][1] == pytest.approx(10 + 20 * math.sin(0.75)) and p[-1][2] == pytest.approx(20 - 20 * math.cos(0.75))
+    e = {r["element_id"]: r for r in m.elements.collect()}
+    assert e["place#20"]["predefined_type"] == "RETAININGWALL" and e["place#20"]["entity_type"] == "IFCWALLSTANDARDCASE" and e["plain#16"]["predefined_type"] == "RETAININGWALL"
+
+
 def test_folder_stream(spark, tmp_path):
     from meshwright.streaming.watch import watch
 
