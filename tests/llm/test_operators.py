@@ -206,8 +206,15 @@ def test_pii_table(spark):
 def test_pii_recall_of_other_forms(spark):
     r = random.Random(11)
     names, hosts = ["ann", "bob.lee", "j.doe", "x1", "hein.19"], ["mail.example.com", "site.org", "mail7.example.net", "uni.ac.uk"]
-    card = lambda: next(c for c in (f"4{r.randrange(10**14):014d}{k}" for k in range(10)) if pii.luhn(c))
-    make = [lambda: f"{r.choice(names)}@{r.choice(hosts)}", lambda: ".".join(str(r.randrange(256)) for _ in range(4)), lambda: " ".join(card()[i : i + 4] for i in (0, 4, 8, 12)), lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"]
+
+    def card():
+        base = f"4{r.randrange(10**14):014d}"
+        return next(c for c in (base + str(k) for k in range(10)) if pii.luhn(c))
+
+    def parted(c):
+        return " ".join(c[i : i + 4] for i in (0, 4, 8, 12))
+
+    make = [lambda: f"{r.choice(names)}@{r.choice(hosts)}", lambda: ".".join(str(r.randrange(256)) for _ in range(4)), lambda: parted(card()), lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"]
     rows = [(i, f"{text(i, r.randrange(3, 9))} {make[i % 4]()} {text(i + 500, 5)}. 12 of 30 on 2024-01-0{i % 9 + 1}") for i in range(400)]
     weights = pii.learned(spark.createDataFrame(rows, "doc_id int, text string"))
     found, clean = {k: [] for k in range(4)}, 0
