@@ -69,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -60, 60)))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], sparsity: float = 0.045, ridge: float = 1e-4, fairness: float = 5.0, rounds: int = 400) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], sparsity: float = 0.002, ridge: float = 1e-5, fairness: float = 5.0, rounds: int = 800) -> Model:
     """rows: label, word hashes and counts of a text. Accelerated proximal steps on loss, penalties and counterfactuals."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
