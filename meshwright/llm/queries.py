@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, license_scan, lm_score, ngram_join, pack, pii, toxicity, url_filter
+from . import conversation, decontaminate, fingerprint, langid, license_scan, lm_score, ngram_join, pack, pii, token_count, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_document_fingerprints": fingerprint.op8_document_fingerprints,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_best_fit_packing": pack.op10_best_fit_packing,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_token_counts": token_count.op12_token_counts,
+    "op13_conversation_repair": conversation.op13_conversation_repair,
 }
 SQL = {"op6_url_filter": url_filter.OP6_SQL}
