@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import classify, context, measure, mesh, pairs, solid
+from .operators import classify, context, measure, mesh, pairs, solid, terrain
 from .rules.evaluate import evaluate, summary
 from .rules.rulesets import ruleset as shipped
 from .sources import site, spf
@@ -62,33 +62,32 @@ class Models:
 
     @cached_property
     def measurements(self) -> DataFrame:
-        """The rules' context, with contact, neighbours and, where a model has a site, its terrain."""
-        near = pairs.box_pairs(self._boxes, 10.0)
+        """The rules' context, with contact, neighbours, alignments and, where a model has a site, its terrain: all models in one plan."""
         ground = cut(spf.triangles(self.entities, ("IFCSITE",)).select("model_id", "fid", *(f"{c}{i}" for i in range(3) for c in "xyz")))
-        distances = pairs.vertex_distances(self._same_model(near), self.vertices)
-        own = measure.flat(self.solids)
+        distances = pairs.vertex_distances(pairs.box_pairs(self._boxes, 10.0, group="model_id"), self.vertices)
+        own = measure.flat(self.solids).join(self.alignment_context.drop("line_id", "i"), "element_id", "left")
         if ground.isEmpty():
             return cut(context.joined(own, self.pairs(), distances))
-        parts = [r["model_id"] for r in ground.select("model_id").distinct().collect()]  # one row a file with terrain
-        base, out = context.joined(own, self.pairs(), distances), None
-        for m in parts:
-            mine = self.solids.where(F.substring_index("element_id", "#", 1) == m)
-            one = context.joined(base.where(F.substring_index("element_id", "#", 1) == m), None, None, mine, ground.where(F.col("model_id") == m))
-            out = one if out is None else out.unionByName(one)
-        rest = base.where(~F.substring_index("element_id", "#", 1).isin(parts))
-        return cut(out.unionByName(rest, allowMissingColumns=True))
+        return cut(context.joined(own, self.pairs(), distances, self._keyed(self.solids), ground, "model_id"))
 
-    @property
-    def _boxes(self) -> DataFrame:
-        return self.solids.select("element_id", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max", "size")))
+    @cached_property
+    def alignment_context(self) -> DataFrame:
+        """Elements with their model's nearest alignment vertex, its distance, the bend there and their own radius over it."""
+        walls = self._keyed(self.solids).selectExpr("model_id", "element_id", "(min_x + max_x) / 2 AS x", "(min_y + max_y) / 2 AS y", "min_radius_m")
+        near = terrain.alignment_context(walls, self.alignments.drop("name"), group="model_id")
+        return near.withColumnsRenamed({"distance_m": "min_alignment_distance_m", "radius": "alignment_radius_m", "radius_ratio": "alignment_radius_ratio"})
 
     @staticmethod
-    def _same_model(met: DataFrame) -> DataFrame:
-        return met.where(F.substring_index("a_id", "#", 1) == F.substring_index("b_id", "#", 1))
+    def _keyed(elements: DataFrame) -> DataFrame:
+        return elements.withColumn("model_id", F.substring_index("element_id", "#", 1))
+
+    @property
+    def _boxes(self) -> DataFrame:
+        return self._keyed(self.solids.select("element_id", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max", "size"))))
 
     def pairs(self, reach: float = 1.0) -> DataFrame:
         faces = self.solids.select("element_id", F.inline("t"))
-        return pairs.contact(self._same_model(pairs.box_pairs(self._boxes, reach)), faces)
+        return pairs.contact(pairs.box_pairs(self._boxes, reach, group="model_id"), faces)
 
     def checks(self, rules: dict | str = "retaining_wall") -> DataFrame:
         return evaluate(self.measurements, shipped(rules) if isinstance(rules, str) else rules)

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cut import cut
+from .select import FEW, order_statistics
+from .spread import attach
 
-def distribution(values: DataFrame, group: str, value: str = "value") -> DataFrame:
+
+def distribution(values: DataFrame, group: str, value: str = "value", few: int = FEW) -> DataFrame:
     """n, min, max, mean, median and population deviation of values that are neither null nor 0."""
     v = values.where(F.col(value).isNotNull() & (F.col(value) != 0))
-    return v.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.median(value).alias("median_value"), F.stddev_pop(value).alias("std_value"))
+    plain = v.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"))
+    return plain.join(order_statistics(v, group, value, {"median_value": 0.5}, few).drop("n"), group)
 
 
-def mad_outliers(values: DataFrame, group: str, key: str, value: str = "value", limit: float = 3.0) -> DataFrame:
+def mad_outliers(values: DataFrame, group: str, key: str, value: str = "value", limit: float = 3.0, few: int = FEW) -> DataFrame:
     """Values whose modified z score 0.6745 (x - median) / MAD exceeds the limit, in groups of three or more."""
-    v = values.where(F.col(value).isNotNull() & (F.col(value) != 0))
-    mid = v.groupBy(group).agg(F.median(value).alias("_m"), F.count("*").alias("_n")).where("_n >= 3")
-    off = v.join(mid, group).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = off.groupBy(group).agg(F.median("_d").alias("_mad")).where("_mad >= 1e-10")
-    out = off.join(mad, group).withColumn("z", F.expr(f"0.6745D * ({value} - _m) / _mad"))
+    v = values.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(group, key, value)
+    mid = cut(order_statistics(v, group, value, {"_m": 0.5}, few).where("n >= 3").drop("n"))
+    off = attach(v, mid, [group]).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    mad = cut(order_statistics(off, group, "_d", {"_mad": 0.5}, few).where("_mad >= 1e-10").drop("n"))
+    out = attach(off, mad, [group]).withColumn("z", F.expr(f"0.6745D * ({value} - _m) / _mad"))
     return out.where(F.abs("z") > limit).select(group, key, value, "z")
 
 

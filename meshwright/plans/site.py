@@ -36,7 +36,7 @@ def nearby_pairs_grid(spark, d):
 
 
 def aabb_overlap(spark, d):
-    return pairs.overlap_volume(pairs.box_pairs(_boxes(spark, d), 0.0, 8.0)).select("a_id", "b_id", "overlap_volume")
+    return pairs.overlap_volume(pairs.box_pairs(_boxes(spark, d), 0.0)).select("a_id", "b_id", "overlap_volume")
 
 
 def _contact(spark, d):
@@ -65,6 +65,11 @@ def element_distances(spark, d):
     return pairs.vertex_distances(pairs.box_pairs(_wall_boxes(spark, d), 5.0), tables.vertices(tables.walls(spark, d)))
 
 
+def pair_distances(spark, d):
+    """All four distances of neighbours."""
+    return pairs.all_distances(pairs.box_pairs(_wall_boxes(spark, d), 5.0), tables.vertices(tables.walls(spark, d)))
+
+
 def nearest_neighbor_distance(spark, d):
     return pairs.nearest(element_distances(spark, d))
 
@@ -262,7 +267,7 @@ far AS (SELECT *, greatest(0, least(1, ((x - p) * (r - p) + (y - q) * (s - q)) /
 pip AS (SELECT {keep}, sum(CASE WHEN ((y < q) <> (y < s)) AND x < (r - p) * (y - q) / coalesce(nullif(s - q, 0), 1) + p THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(x - p - t * (r - p), 2) + pow(y - q - t * (s - q), 2))) AS near FROM far GROUP BY ALL)"""
 
 
-QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, contact_classification, overhang, dilatation_joints, element_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
+QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, contact_classification, overhang, dilatation_joints, element_distances, pair_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
 _MODELS = "a0 AS (SELECT p_partkey AS element_id, p_name || '-' || (p_partkey % 1500) AS name, p_retailprice AS price, p_size AS size FROM part), b0 AS (SELECT element_id, name, CASE WHEN element_id % 13 = 0 THEN price + 25 ELSE price END AS price, CASE WHEN element_id % 7 = 0 THEN NULL ELSE size END AS size FROM a0 WHERE element_id % 17 <> 0), {x}a AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM a0 WHERE element_id % 19 <> 0 GROUP BY 1), b AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM b0 GROUP BY 1)".replace("{x}", "")
 SQL = {
     "aabb_pairs": f"{_B(1)} SELECT a_id, b_id FROM pr",
@@ -276,6 +281,9 @@ SELECT upper_id, lower_id, m >= -greatest(sx, sy) * 1e-6 AS extends, round(great
 bp AS (SELECT *, CASE WHEN max(max_x) OVER w - min(min_x) OVER w >= max(max_y) OVER w - min(min_y) OVER w THEN mx ELSE my END AS pos FROM bb WINDOW w AS (PARTITION BY model_id)),
 bl AS (SELECT model_id, element_id AS a_id, lead(element_id) OVER o AS b_id, lead(pos) OVER o - pos AS spacing_m FROM bp WINDOW o AS (PARTITION BY model_id ORDER BY pos, element_id)) SELECT *, spacing_m > 15 AS exceeds FROM bl WHERE b_id IS NOT NULL""",
     "element_distances": f"{_NEAR} SELECT * FROM dist",
+    "pair_distances": f"""{_NEAR}, mv AS (SELECT element_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM verts GROUP BY 1)
+SELECT a_id, b_id, min_distance_mm, round(sqrt(gap_x * gap_x + gap_y * gap_y) * 1000, 1) AS horizontal_mm, round(gap_z * 1000, 1) AS vertical_mm, round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) * 1000, 1) AS centroid_mm
+FROM dist JOIN pr USING (a_id, b_id) JOIN mv p ON p.element_id = a_id JOIN mv q ON q.element_id = b_id""",
     "nearest_neighbor_distance": f"{_NEAR} SELECT element_id, min(min_distance_mm) AS min_distance_to_nearest_mm FROM (SELECT a_id AS element_id, min_distance_mm FROM dist UNION ALL SELECT b_id, min_distance_mm FROM dist) GROUP BY 1",
     "terrain_height": f"{with_(WALLS, TERRAIN, _HEIGHT('SELECT element_id, x0 + l / 2 AS x, y0 + t / 2 AS y FROM walls'))} SELECT element_id, round(terrain_z, 9) AS terrain_z FROM hh",
     "crown_clearance": f"{with_(WALLS, VERTS, TERRAIN, _HEIGHT('SELECT element_id, vid, x, y, z FROM verts WHERE vid >= 4', ', vid, z'))} SELECT element_id, round(min(z - terrain_z), 9) AS min_clearance, round(max(z - terrain_z), 9) AS max_clearance, round(avg(z - terrain_z), 9) AS avg_clearance, count(terrain_z) AS n_points FROM hh GROUP BY 1",

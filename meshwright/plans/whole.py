@@ -121,10 +121,9 @@ def robust_range(spark, d):
 
 
 def alignment_radius(spark, d):
-    """Of each wall the radius of the nearest polyline's bend and its ratio to the wall's length."""
-    p = tables.walls(spark, d).selectExpr("element_id", "x0 + l / 2 AS x", "y0 + t / 2 AS y")
-    near = terrain.nearest_vertex(p, _line(spark, d)).join(tables.walls(spark, d).select("element_id", "l"), "element_id")
-    return near.join(terrain.local_radius(_line(spark, d)), ["line_id", "i"], "left").select("element_id", F.round("radius", 3).alias("radius"), F.round(F.try_divide(F.col("l"), F.col("radius")), 6).alias("ratio"))
+    """Of walls along arcs of radius 2 l the radius of the nearest polyline's bend, and theirs over it."""
+    w = tables.walls(spark, d).selectExpr("element_id", "x0 + l / 2 AS x", "y0 + t / 2 AS y", "2 * l AS min_radius_m")
+    return terrain.alignment_context(w, _line(spark, d)).select("element_id", F.round("radius", 3).alias("radius"), F.round("radius_ratio", 6).alias("ratio"))
 
 
 def viewer_scenes(spark, d):
@@ -200,5 +199,5 @@ SELECT element_id, rule_id, round(v, 3) AS actual_value, printf('actual %.3f', v
 tr AS (SELECT line_id, i, lx, ly, lag(lx) OVER w AS ax, lag(ly) OVER w AS ay, lead(lx) OVER w AS bx, lead(ly) OVER w AS by_ FROM line WINDOW w AS (PARTITION BY line_id ORDER BY i)),
 ra AS (SELECT *, CASE WHEN abs((lx - ax) * (by_ - ay) - (ly - ay) * (bx - ax)) >= 1e-10 THEN sqrt(pow(lx - ax, 2) + pow(ly - ay, 2)) * sqrt(pow(bx - lx, 2) + pow(by_ - ly, 2)) * sqrt(pow(ax - bx, 2) + pow(ay - by_, 2)) / (2 * abs((lx - ax) * (by_ - ay) - (ly - ay) * (bx - ax))) END AS rad FROM tr),
 rb AS (SELECT line_id, i, CASE WHEN ax IS NULL THEN lead(rad) OVER w WHEN bx IS NULL THEN lag(rad) OVER w ELSE rad END AS rad FROM ra WINDOW w AS (PARTITION BY line_id ORDER BY i))
-SELECT element_id, round(rad, 3) AS radius, round(l / rad, 6) AS ratio FROM rk LEFT JOIN rb USING (line_id, i) WHERE r = 1""",
+SELECT element_id, round(rad, 3) AS radius, round(2 * l / rad, 6) AS ratio FROM rk LEFT JOIN rb USING (line_id, i) WHERE r = 1""",
 }
