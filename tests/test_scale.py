@@ -136,7 +136,7 @@ def test_compared_vertices_grow_with_their_number(spark):
 
     for gap in (0.5, 15.0):
         few, many = seen(2000, gap), seen(8000, gap)
-        assert many < 8 * few
+        assert many < 8 * few and many < 8000 * 8000 / 50, (gap, few, many)
 
 
 def test_nearest_vertex_of_long_lines(spark):
