@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.cut import cut
+from ..sources.cut import dropped, written
 from .mesh import KEY, edges
 
 
@@ -29,14 +29,19 @@ def adjacency(tris: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def propagate(pairs: DataFrame) -> DataFrame:
-    """(node, component) of one graph of pairs (f, g), by smallest labels and their labels, until none moves; cut by checkpoints."""
-    both = pairs.select(F.col("f").alias("u"), F.col("g").alias("v")).union(pairs.select("g", "f")).distinct()
-    label = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l"))
+    """(node, component) of one graph of pairs (f, g): nodes take over the smallest label about them, hand it to the node that their
+    old label names, and then take that of the node that their label names, until none moves; rounds grow as a logarithm."""
+    both, sides = written(pairs.select(F.col("f").alias("u"), F.col("g").alias("v")).union(pairs.select("g", "f")).distinct())
+    label, path = written(both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l")))
     while True:
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
         step = label.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        moved = step.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l"))
-        moved = cut(moved)
-        label = moved.select("u", "l")
-        if moved.where("was <> l").isEmpty():
+        hooks = step.where("l < was").groupBy(F.col("was").alias("u")).agg(F.min("l").alias("h"))
+        step = step.join(hooks, "u", "left").select("u", "was", F.least("l", F.coalesce("h", "l")).alias("l"))
+        moved, new = written(step.join(step.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l")))
+        still = moved.where("was <> l").isEmpty()
+        dropped(both, path)
+        label, path = moved.select("u", "l"), new
+        if still:
+            dropped(both, sides)
             return label.select(F.col("u").alias("node"), F.col("l").alias("component"))

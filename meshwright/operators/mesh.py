@@ -5,9 +5,13 @@ Degenerate triangles keep their normal as zero; elements without triangles give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.cut import cut
+from .select import order_statistics
+from .spread import attach
+
 KEY = "element_id"
 
 
@@ -69,11 +73,10 @@ def drop_degenerate(tris: DataFrame, key: str = KEY) -> DataFrame:
 
     Adds ``n_degenerate`` to each row.
     """
-    w = Window.partitionBy(key)
-    box = " + ".join(f"pow(max(greatest({c}0, {c}1, {c}2)) OVER w - min(least({c}0, {c}1, {c}2)) OVER w, 2)" for c in "xyz").replace("OVER w", f"OVER (PARTITION BY {key})")
-    out = normals(tris).withColumn("_fine", F.expr(f"area > ({box}) * 1e-16"))
-    out = out.withColumns({"n_degenerate": F.count_if(~F.col("_fine")).over(w), "_left": F.count_if("_fine").over(w)})
-    return out.where("_fine OR _left < 4").drop("_fine", "_left")
+    box = cut(tris.groupBy(key).agg(F.expr(" + ".join(f"pow(max(greatest({c}0, {c}1, {c}2)) - min(least({c}0, {c}1, {c}2)), 2)" for c in "xyz")).alias("_box")))
+    out = attach(normals(tris), box, [key]).withColumn("_fine", F.expr("area > _box * 1e-16"))
+    left = cut(out.groupBy(key).agg(F.count_if(~F.col("_fine")).alias("n_degenerate"), F.count_if("_fine").alias("_left")))
+    return attach(out, left, [key]).where("_fine OR _left < 4").drop("_fine", "_left", "_box")
 
 
 def repair_winding(tris: DataFrame, key: str = KEY) -> DataFrame:
@@ -88,9 +91,11 @@ def quality(tris: DataFrame, key: str = KEY) -> DataFrame:
     """Area and edge-length statistics; each triangle counts its own three sides."""
     n = normals(tris)
     length = F.explode(F.array(*(F.expr(f"sqrt(pow(x{i} - x{j}, 2) + pow(y{i} - y{j}, 2) + pow(z{i} - z{j}, 2))") for i, j in ((0, 1), (1, 2), (2, 0)))))
-    areas = n.groupBy(key).agg(F.min("area").alias("min_area"), F.max("area").alias("max_area"), F.median("area").alias("median_area"), F.count("*").alias("num_triangles"))
-    tiny = n.join(areas.select(key, "median_area"), key).groupBy(key).agg(F.count_if(F.col("area") < F.col("median_area") * 1e-10).alias("degenerate"))
-    sides = tris.select(key, length.alias("s")).groupBy(key).agg(F.min("s").alias("min_edge"), F.max("s").alias("max_edge"), F.median("s").alias("median_edge"))
+    areas = n.groupBy(key).agg(F.min("area").alias("min_area"), F.max("area").alias("max_area"), F.count("*").alias("num_triangles")).join(order_statistics(n, key, "area", {"median_area": 0.5}).drop("n"), key)
+    areas = cut(areas)
+    tiny = attach(n, areas.select(key, "median_area"), [key]).groupBy(key).agg(F.count_if(F.col("area") < F.col("median_area") * 1e-10).alias("degenerate"))
+    every = tris.select(key, length.alias("s"))
+    sides = every.groupBy(key).agg(F.min("s").alias("min_edge"), F.max("s").alias("max_edge")).join(order_statistics(every, key, "s", {"median_edge": 0.5}).drop("n"), key)
     return areas.join(tiny, key).join(sides, key).join(watertight(tris, key), key)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, mesh, solid
+from ..operators import graph, large, mesh, solid
 from ..sources import tables
 from .sql_base import NORMALS, TRIS, VERTS, WALLS, with_
 
@@ -106,6 +106,34 @@ def group_properties(spark, d):
     return g.select("element_id", "group_id", "num_triangles", *_r("area", "px", "py", "pz"), *(F.expr(f"round(g{c}, 6) + 0D").alias(f"g{c}") for c in "xyz"))
 
 
+#: So small that some of the site meshes are large at every scale but the least.
+SITE_LIMIT = 960
+
+
+def _site_meshes(spark, d):
+    """All walls of a brand as one mesh of many bodies; it grows with the table."""
+    w = tables.walls(spark, d)
+    t = tables.triangles(w).join(w.select("element_id", "model_id"), "element_id")
+    return t.withColumns({"fid": F.col("element_id") * 12 + F.col("fid")} | {v: F.col("element_id") * 8 + F.col(v) for v in "abc"}).withColumn("element_id", F.col("model_id")).drop("model_id")
+
+
+def site_mesh_level1(spark, d):
+    """Level 1 of meshes that needn't fit a row."""
+    s = large.level1(_site_meshes(spark, d), SITE_LIMIT)
+    return s.select("element_id", "num_triangles", "num_edges", "non_manifold_edges", "is_watertight", *_r("signed_volume", "total_area", "cx", "cy", "cz"), *(f"{n}_{c}" for c in "xyz" for n in ("min", "max")))
+
+
+def site_mesh_bodies(spark, d):
+    """The largest body of each."""
+    return large.largest_body(_site_meshes(spark, d)).select("element_id", "component", *_r("area"), "num_bodies")
+
+
+def site_mesh_groups(spark, d):
+    """Coplanar groups of meshes that needn't fit a row."""
+    g = large.groups(_site_meshes(spark, d), SITE_LIMIT)
+    return g.select("element_id", "group_id", "num_triangles", *_r("area", "px", "py", "pz"), *(F.expr(f"round(g{c}, 6) + 0D").alias(f"g{c}") for c in "xyz"))
+
+
 _T = with_(WALLS, VERTS, TRIS)
 _N = with_(WALLS, VERTS, TRIS, NORMALS)
 _EDGES = "edges AS (SELECT element_id, fid, least(a, b) AS lo, greatest(a, b) AS hi FROM tris UNION ALL SELECT element_id, fid, least(b, c), greatest(b, c) FROM tris UNION ALL SELECT element_id, fid, least(c, a), greatest(c, a) FROM tris)"
@@ -124,7 +152,7 @@ tris AS (SELECT element_id, fid, a, CASE WHEN f THEN c ELSE b END AS b, CASE WHE
 _COPLANAR = "copl AS (SELECT j.* FROM adj j JOIN norms p ON p.element_id = j.element_id AND p.fid = j.f JOIN norms q ON q.element_id = j.element_id AND q.fid = j.g WHERE acos(greatest(least(p.ux * q.ux + p.uy * q.uy + p.uz * q.uz, 1), -1)) < radians(5))"
 GROUPED = (WALLS, VERTS, _FIXED, NORMALS, _EDGES, _ADJ, _COPLANAR, _CLOSE.format(pairs="copl"))
 
-QUERIES = {f.__name__: f for f in (l1_volume, l1_surface_area, l1_bbox, l1_centroid, l1_watertight, l1_mesh_quality, l1_degenerate_filter, l1_winding_repair, soup_join, weld_vertices, face_adjacency, face_components, largest_body, coplanar_groups, group_properties)}
+QUERIES = {f.__name__: f for f in (l1_volume, l1_surface_area, l1_bbox, l1_centroid, l1_watertight, l1_mesh_quality, l1_degenerate_filter, l1_winding_repair, soup_join, weld_vertices, face_adjacency, face_components, largest_body, coplanar_groups, group_properties, site_mesh_level1, site_mesh_bodies, site_mesh_groups)}
 SQL = {
     "l1_volume": f"{with_(WALLS, VERTS, TRIS, _SIGNED)} SELECT element_id, round(abs(signed_volume), 6) AS volume FROM sv",
     "l1_surface_area": f"{_N} SELECT element_id, round(sum(area), 6) AS total_area FROM norms GROUP BY 1",
@@ -147,4 +175,14 @@ SELECT element_id, arg_max(component, round(area, 6) - component * 1e-9) AS comp
     "coplanar_groups": f"{with_(*GROUPED)} SELECT * FROM comp",
     "group_properties": f"""{with_(*GROUPED)}, gs AS (SELECT element_id, component AS group_id, sum(area) AS area, count(*) AS num_triangles, {', '.join(f'sum(u{c} * area) AS s{c}, sum(({c}0 + {c}1 + {c}2) / 3 * area) / sum(area) AS p{c}' for c in 'xyz')} FROM norms JOIN comp USING (element_id, fid) GROUP BY ALL)
 SELECT element_id, group_id, num_triangles, round(area, 6) AS area, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz, {', '.join(f'round(s{c} / sqrt(sx * sx + sy * sy + sz * sz), 6) + 0 AS g{c}' for c in 'xyz')} FROM gs""",
+    "site_mesh_level1": f"""{with_(WALLS, VERTS, TRIS, NORMALS, _EDGES, _TIGHT)}, mo AS (SELECT element_id, model_id FROM walls), sm AS (SELECT model_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {', '.join(f'min({c}) AS min_{c}, max({c}) AS max_{c}' for c in 'xyz')} FROM verts JOIN mo USING (element_id) GROUP BY 1),
+sa AS (SELECT model_id, count(*) AS num_triangles, sum(area) AS total_area, {', '.join(f'sum(({c}0 + {c}1 + {c}2) / 3 * area) / sum(area) AS c{c}' for c in 'xyz')} FROM norms JOIN mo USING (element_id) GROUP BY 1),
+sg AS (SELECT model_id, {_ABOUT} AS signed_volume FROM tris JOIN mo USING (element_id) JOIN sm USING (model_id) GROUP BY 1),
+st AS (SELECT model_id, sum(num_edges)::BIGINT AS num_edges, sum(non_manifold_edges)::BIGINT AS non_manifold_edges, bool_and(is_watertight) AS is_watertight FROM tight JOIN mo USING (element_id) GROUP BY 1)
+SELECT model_id AS element_id, num_triangles, num_edges, non_manifold_edges, is_watertight, round(signed_volume, 6) AS signed_volume, round(total_area, 6) AS total_area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, {', '.join(f'{n}_{c}' for c in 'xyz' for n in ('min', 'max'))}
+FROM sm JOIN sa USING (model_id) JOIN sg USING (model_id) JOIN st USING (model_id)""",
+    "site_mesh_bodies": f"""{_N}, sb AS (SELECT model_id, element_id, min(element_id * 12 + fid) AS component, round(sum(area), 6) AS area FROM norms JOIN (SELECT element_id, model_id FROM walls) USING (element_id) GROUP BY ALL),
+rb AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY area DESC, component) AS k, count(*) OVER (PARTITION BY model_id) AS num_bodies FROM sb) SELECT model_id AS element_id, component, area, num_bodies FROM rb WHERE k = 1""",
+    "site_mesh_groups": f"""{with_(WALLS, VERTS, TRIS, NORMALS, _EDGES, _ADJ, _COPLANAR, _CLOSE.format(pairs="copl"))}, gs AS (SELECT element_id, component, sum(area) AS area, count(*) AS num_triangles, {', '.join(f'sum(u{c} * area) AS s{c}, sum(({c}0 + {c}1 + {c}2) / 3 * area) / sum(area) AS p{c}' for c in 'xyz')} FROM norms JOIN comp USING (element_id, fid) GROUP BY ALL)
+SELECT model_id AS element_id, element_id * 12 + component AS group_id, num_triangles, round(area, 6) AS area, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz, {', '.join(f'round(s{c} / sqrt(sx * sx + sy * sy + sz * sz), 6) + 0 AS g{c}' for c in 'xyz')} FROM gs JOIN (SELECT element_id, model_id FROM walls) USING (element_id)""",
 }
