@@ -158,18 +158,23 @@ def groups(tris: DataFrame, limit: int = LIMIT, degrees: float = 5.0, key: str =
     return g if large is None else g.unionByName(_grouped(large, degrees, key)[0])
 
 
-def axis(turned: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, ax, ay): main direction in plan of the area-weighted centroids of ``faced`` triangles, the longer box side if round."""
-    mean = cut(turned.groupBy(key).agg(*(F.expr(f"try_divide(sum(m{c} * area), sum(area))").alias(f"_{c}") for c in "xy"), *(F.expr(f"max(greatest({c}0, {c}1, {c}2)) - min(least({c}0, {c}1, {c}2))").alias(f"_w{c}") for c in "xy")))
-    off = attach(turned.select(key, "mx", "my", "area"), mean, [key])
-    s = off.groupBy(key, "_wx", "_wy").agg(*(F.expr(f"try_divide(sum((m{p} - _{p}) * (m{q} - _{q}) * area), sum(area))").alias(p + q) for p, q in ("xx", "xy", "yy")))
+def axis(turned: DataFrame, by_area: bool = True, key: str = KEY) -> DataFrame:
+    """(key, ax, ay): main direction in plan, the longer box side if round.
+
+    Of the area-weighted centroids of ``faced`` triangles or, as a straight centreline's, of their vertices.
+    """
+    corners = vertices(turned, key)
+    points = turned.select(key, F.col("mx").alias("x"), F.col("my").alias("y"), F.col("area").alias("w")) if by_area else corners.select(key, "x", "y", F.lit(1.0).alias("w"))
+    mean = points.groupBy(key).agg(*(F.expr(f"try_divide(sum({c} * w), sum(w))").alias(f"_{c}") for c in "xy"))
+    mean = cut(mean.join(corners.groupBy(key).agg(*(F.expr(f"max({c}) - min({c})").alias(f"_w{c}") for c in "xy")), key))
+    s = attach(points, mean, [key]).groupBy(key, "_wx", "_wy").agg(*(F.expr(f"try_divide(sum(({p} - _{p}) * ({q} - _{q}) * w), sum(w))").alias(p + q) for p, q in ("xx", "xy", "yy")))
     s = s.withColumn("_d", F.expr("sqrt(pow((xx - yy) / 2, 2) + xy * xy)")).withColumns({"_big": F.expr("(xx + yy) / 2 + _d"), "_small": F.expr("(xx + yy) / 2 - _d")})
     s = s.withColumns({"_ex": F.expr("IF(xx >= yy, _big - yy, xy)"), "_ey": F.expr("IF(xx >= yy, xy, _big - xx)")}).withColumn("_n", F.expr("sqrt(_ex * _ex + _ey * _ey)"))
     s = s.withColumns({"_round": F.expr("_big / greatest(_small, 1e-12D) < 2 OR _n = 0"), "_sign": F.expr("IF(IF(abs(_ex) >= abs(_ey), _ex, _ey) < 0, -1D, 1D)")})
     return s.select(key, F.expr("IF(_round, IF(_wx >= _wy, 1D, 0D), _sign * _ex / _n)").alias("ax"), F.expr("IF(_round, IF(_wx >= _wy, 0D, 1D), _sign * _ey / _n)").alias("ay"))
 
 
-def crown_width(tris: DataFrame, degrees: float = 5.0, key: str = KEY) -> DataFrame:
+def crown_width(tris: DataFrame, by_area: bool = False, degrees: float = 5.0, key: str = KEY) -> DataFrame:
     """(key, crown_width_mm): extent of the topmost upward surfaces across the axis, over their mean tilt; largest bodies only.
 
     Of the crowns' heights the largest gap, if it exceeds a millimetre and the spread on both sides of it, parts those that count.
@@ -181,7 +186,7 @@ def crown_width(tris: DataFrame, degrees: float = 5.0, key: str = KEY) -> DataFr
     widest = gaps.select(key, "pz", F.col("next.pz").alias("_up")).groupBy(key).agg(F.max(F.struct((F.col("_up") - F.col("pz")).alias("gap"), (-F.col("pz")).alias("_below"), "_up")).alias("_g"))
     split = widest.join(span, key).where("_g.gap > greatest(-_g._below - _lo, _hi - _g._up, 1e-3D)").select(key, F.expr("(-_g._below + _g._up) / 2").alias("_mid"))
     top = cut(attach(crown, cut(split), [key], "left").where("_mid IS NULL OR pz > _mid"))
-    tilt = cut(top.groupBy(key).agg(F.expr("try_divide(sum(abs(gz) * area), sum(area))").alias("_tilt")).join(axis(rows, key), key))
+    tilt = cut(top.groupBy(key).agg(F.expr("try_divide(sum(abs(gz) * area), sum(area))").alias("_tilt")).join(axis(rows, by_area, key), key))
     faces = rows.join(top.select(key, "group_id"), [key, "group_id"], "left_semi")
     across = attach(faces, tilt, [key]).withColumns({f"_a{i}": F.expr(f"x{i} * ay - y{i} * ax") for i in range(3)})
     return across.groupBy(key, "_tilt").agg(F.expr("max(greatest(_a0, _a1, _a2)) - min(least(_a0, _a1, _a2))").alias("_w")).select(key, F.expr("try_divide(_w, _tilt) * 1000").alias("crown_width_mm"))

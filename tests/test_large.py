@@ -96,7 +96,7 @@ def test_bodies_and_crowns(spark, mixed):
     plain = {r["element_id"]: (r["fid"], round(r["area"], 6), r["num_bodies"]) for r in solid.largest_body(solid.faced(solid.rows(two))).select("element_id", F.col("t")[0]["fid"].alias("fid"), F.expr(solid.total("t", lambda x: x["area"]).__str__()).alias("area"), "num_bodies").collect()}
     got = {r["element_id"]: (r["component"], round(r["area"], 6), r["num_bodies"]) for r in large.largest_body(two).collect()}
     assert {k: (v[0], pytest.approx(v[1], abs=2e-6), v[2]) for k, v in got.items()} == plain
-    width = {r["element_id"]: r["crown_width_mm"] for r in large.crown_width(two).collect()}
+    width = {r["element_id"]: r["crown_width_mm"] for r in large.crown_width(two, by_area=True).collect()}
     assert width == {k: pytest.approx(v) for k, v in crown_widths(t.collect()).items()} and len(width) == 25
     # where a wall is straight, as the array plan has it
     walls = tables.meshes(tables.walls(spark, DATA).where("element_id % 13 <> 5").limit(20)).checkpoint()
