@@ -1,12 +1,16 @@
-"""License scan: an index of templates' rarer words picks candidates, banded alignment settles them.
+"""License scan: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment settles them.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case. A match holds at least ``COVER``
-of a template's words (``COVER_SHORT`` of one under ten words). Of n words with ``need`` to match, the
-n - need + ``least`` rarest (by the templates' own counts) are indexed by template and place, so any match meets at least
-``least`` (half of ``need``) of them. A text's words look themselves up there. Where so many hits of one template agree on
-where it would begin, within ``BAND`` words either way, stands a candidate; no match that the alignment would accept is without one. A dynamic
+of a template's words (``COVER_SHORT`` of one under ten words). Of a template of ``LONG`` words and more the grams of ``GRAM`` words
+are winnowed: of each ``WINDOW`` neighbouring grams the least hash is a fingerprint, so a run of GRAM + WINDOW - 1 words in common
+shares one. The index holds fingerprints with template and place. A text's grams look themselves up there; where a sixteenth of a template's
+fingerprints (one at least) agree on where it would begin, within ``BAND`` words either way, stands a candidate. A shorter template is a
+window by itself: its fingerprints are single words. Of n words with ``need`` to match, the n - need + ``least`` rarest (by the templates'
+own counts) are filed, so any match meets at least ``least`` (half of ``need``) of them, and no match that the alignment would
+accept is without a candidate; for long templates the tests measure recall against alignment everywhere. A dynamic
 programme over that band aligns template and text and gives the matched words and the text's span: about every
 candidate place for templates under ``LONG`` words, about every ``BAND``-th and once over all neighbouring places for longer ones.
+All places of a template in a batch are aligned at once, a front of the band's cells at a time.
 
 A match of a template under ``LONG`` words must hold the template's telling words (numbers, and such as "SA" or "Lesser"), these
 alone and in order: a notice of version 2 is no match of version 3's. Coverage is of the template, which is a notice or the text
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 from .arrowtext import ALNUM, Words, map_text
 
 BAND, LONG = 8, 20
+#: Words of a gram, and grams of a winnowing window.
+GRAM, WINDOW = 3, 3
 COVER, COVER_SHORT = 0.6, 0.8
+#: Cells of alignments held at once.
+ALIGNED = 1 << 18
 #: Template words that may be broadcast; a larger set is an error.
 WORDS_HELD = 2_000_000
 
@@ -83,6 +91,43 @@ def needed(n: int) -> int:
     return math.ceil((COVER if n >= 10 else COVER_SHORT) * n)
 
 
+def grams(h: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``GRAM`` of the words' hashes."""
+    n = max(0, len(h) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)  # wraps
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def winnowed(g: np.ndarray) -> np.ndarray:
+    """Places of the least of each ``WINDOW`` neighbours (the last of equal ones); of fewer, the least."""
+    if len(g) <= WINDOW:
+        return np.array([len(g) - 1 - int(np.argmin(g[::-1]))]) if len(g) else np.zeros(0, np.int64)
+    seen = np.lib.stride_tricks.sliding_window_view(g, WINDOW)[:, ::-1]
+    return np.unique(np.arange(len(seen)) + WINDOW - 1 - np.argmin(seen, 1))
+
+
+class Filed:
+    """An inverted index: hashes with the templates and places that hold them."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        found = sorted(found)
+        self.keys = np.array([f[0] for f in found], np.uint64)
+        self.template, self.place = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+        self.table = np.zeros(1 << 18, bool)
+        self.table[self.keys >> np.uint64(46)] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``h``, template, its place) of all that are filed."""
+        at = np.flatnonzero(self.table[h >> np.uint64(46)])
+        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+        n = hi - lo
+        k = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        return np.repeat(at, n), self.template[k], self.place[k]
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         import pyarrow as pa
@@ -93,16 +138,17 @@ class Index:
         self.need = [needed(len(h)) for h in self.words]
         self.telling = [self._telling(t) if len(h) < LONG else None for t, h in zip((templates[n] for n in self.names), self.words, strict=True)]
         self.least = np.array([(n + 1) // 2 for n in self.need], np.int64)
-        found = []
+        single, runs = [], []
         for t, h in enumerate(self.words):
-            rare = np.argsort(counts[np.searchsorted(every, h)], kind="stable")[: len(h) - self.need[t] + int(self.least[t])]
-            found += [(int(h[i]), t, i) for i in rare.tolist()]
-        found.sort()
-        self.keys = np.array([f[0] for f in found], np.uint64)
-        self.template, self.place = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
-        self.table = np.zeros(1 << 18, bool)
-        self.table[self.keys >> np.uint64(46)] = True
-
+            if len(h) < LONG:
+                rare = np.argsort(counts[np.searchsorted(every, h)], kind="stable")[: len(h) - self.need[t] + int(self.least[t])]
+                single += [(int(h[i]), t, i) for i in rare.tolist()]
+            else:
+                g = grams(h)
+                prints = winnowed(g).tolist()
+                self.least[t] = max(1, len(prints) // 16)
+                runs += [(int(g[i]), t, i) for i in prints]
+        self.single, self.runs = Filed(single), Filed(runs)
 
     @staticmethod
     def _telling(text: str) -> list[bytes]:
@@ -116,46 +162,53 @@ def tells(word: bytes) -> bool:
     return word.isdigit() or word.decode("utf-8", "replace") in TELLING
 
 
-def align(template: np.ndarray, text: np.ndarray, begin: int, band: int = BAND, more: int = 0) -> tuple[int, int, int, int]:
-    """Score, matched words and span (first word, past the last) of the template in the text, near ``begin`` to ``begin + more``.
+def align(template: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, more: int = 0) -> np.ndarray:
+    """Rows (score, matched words, first word, past the last): the template in texts ``words[start:end]``, near ``begin`` to ``begin + more``.
 
-    Words match for 1, others and gaps cost 1; what the text has before and after the template is free.
+    Words match for 1, others and gaps cost 1; what a text has before and after the template is free. Of equal scores the
+    earlier end stays. Cells of template word i and diagonal d, text word begin - BAND + d + i, hang on those of 2 i + d less 1 and
+    less 2, so all cells of one sum are computed at once, for all texts.
     """
-    lo = begin - band
-    width = 2 * band + 1 + more
-    # state of each diagonal d: template word i stands at text word lo + d + i
-    score, match, first = [0] * width, [0] * width, [-1] * width
-    best = (0, 0, 0, 0)
-    n = len(text)
-    for i, word in enumerate(template.tolist()):
-        new_score, new_match, new_first = [0] * width, [0] * width, [-1] * width
-        for d in range(width):
-            j = lo + d + i
-            same = 0 <= j < n and text[j] == word
-            s, m, f = score[d] + (1 if same else -1), match[d] + same, first[d]
-            if same and f < 0:
-                f = j
-            if d + 1 < width and score[d + 1] - 1 > s:  # the template's word is missing
-                s, m, f = score[d + 1] - 1, match[d + 1], first[d + 1]
-            if d and new_score[d - 1] - 1 > s:  # the text has a word too many
-                s, m, f = new_score[d - 1] - 1, new_match[d - 1], new_first[d - 1]
-            if s <= 0 and m == 0:
-                s, f = 0, -1
-            new_score[d], new_match[d], new_first[d] = s, m, f
-            if m and same and (s, -(j + 1)) > (best[0], -best[3] if best[0] else -(n + 1)):
-                best = (s, m, f, j + 1)
-        score, match, first = new_score, new_match, new_first
+    width, rows, n = 2 * BAND + 1 + more, len(begin), len(template)
+    score, match, first = (np.zeros((rows, width + 2), np.int64) for _ in range(3))  # a diagonal's latest cell; one more at either side
+    first[:] = -1
+    score[:, 0] = score[:, -1] = -(1 << 40)
+    best = np.zeros((rows, 4), np.int64)
+    best[:, 3] = 1 << 40
+    far = len(words) - 1
+    for front in range(2 * (n - 1) + width):
+        d = np.arange(max(front % 2, front - 2 * (n - 1)), min(width - 1, front) + 1, 2)
+        i = (front - d) // 2
+        j = (begin - BAND)[:, None] + d + i
+        same = (j >= 0) & (j < (end - start)[:, None])
+        same &= words[np.clip(j + start[:, None], 0, far)] == template[i]
+        at = d + 1
+        s, m, f = score[:, at] + np.where(same, 1, -1), match[:, at] + same, first[:, at]
+        f = np.where(same & (f < 0), j, f)
+        for side in (at + 1, at - 1):  # the template's word is missing; the text has a word too many
+            s2 = score[:, side] - 1
+            over = s2 > s
+            s, m, f = np.where(over, s2, s), np.where(over, match[:, side], m), np.where(over, first[:, side], f)
+        free = (s <= 0) & (m == 0)
+        s, f = np.where(free, 0, s), np.where(free, -1, f)
+        score[:, at], match[:, at], first[:, at] = s, m, f
+        can = np.where(same & (m > 0), s, -1)
+        top = can.max(1)
+        for r in np.flatnonzero((top > best[:, 0]) | ((top == best[:, 0]) & (top >= 0))).tolist():
+            k = int(np.argmin(np.where(can[r] == top[r], j[r], 1 << 40)))
+            if top[r] > best[r, 0] or j[r, k] + 1 < best[r, 3]:
+                best[r] = top[r], m[r, k], f[r, k], j[r, k] + 1
+    best[best[:, 1] == 0] = 0
     return best
 
 
 def candidates(index: Index, h: np.ndarray, ptr: np.ndarray):
     """(text, template, first, last): where templates may begin, places with less than two between them taken together."""
-    at = np.flatnonzero(index.table[h >> np.uint64(46)])
-    lo, hi = np.searchsorted(index.keys, h[at], "left"), np.searchsorted(index.keys, h[at], "right")
-    n = hi - lo
-    k = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-    at = np.repeat(at, n)
-    doc, t, place = np.searchsorted(ptr, at, "right") - 1, index.template[k], index.place[k]
+    at, t, place = index.single.hits(h)
+    run, t2, place2 = index.runs.hits(grams(h))
+    whole = run + GRAM <= ptr[np.searchsorted(ptr, run, "right")] if len(run) else np.zeros(0, bool)  # within one text
+    at, t, place = (np.concatenate(x) for x in ((at, run[whole]), (t, t2[whole]), (place, place2[whole])))
+    doc = np.searchsorted(ptr, at, "right") - 1
     longest = max(map(len, index.words), default=0)
     span = len(h) + longest + 4 * BAND + 4  # groups of a text and template lie further apart than a band
     key = (doc * len(index.names) + t) * span + at - ptr[doc] - place + longest
@@ -182,14 +235,23 @@ def matches(index: Index, texts) -> list[list[dict]]:
     h = w.hashes()
     out: list[list[dict]] = [[] for _ in range(len(w.ptr) - 1)]
     found: dict[int, set[tuple[int, int, int, int, int]]] = {}
+    tries: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (template, more): (text, begin)
     for d, t, first, last in candidates(index, h, w.ptr):
-        own, template = h[w.ptr[d] : w.ptr[d + 1]], index.words[t]
-        tried = [align(template, own, begin) for begin in ([*range(first, last + 1)] if len(template) < LONG else [*range(first, last, BAND), last])]
-        if len(template) >= LONG:
-            tried.append(align(template, own, first, more=last - first))
-        told = index.telling[t]
-        same = lambda a, b, d=d, told=told: told is None or [x for i in range(w.ptr[d] + a, w.ptr[d] + b) if tells(x := w.word(i))] == told
-        found.setdefault(d, set()).update((m, s, a, b, t) for s, m, a, b in tried if m and m >= index.need[t] and same(a, b))
+        if len(index.words[t]) < LONG:
+            tries.setdefault((t, 0), []).extend((d, begin) for begin in range(first, last + 1))
+        else:
+            tries.setdefault((t, 0), []).extend((d, begin) for begin in [*range(first, last, BAND), last])
+            if last > first:
+                tries.setdefault((t, last - first), []).append((d, first))
+    for (t, more), places in tries.items():
+        told, template = index.telling[t], index.words[t]
+        step = max(1, ALIGNED // (2 * BAND + 1 + more))
+        for k in range(0, len(places), step):
+            d, begin = np.array(places[k : k + step]).T
+            got = align(template, h, w.ptr[d], w.ptr[d + 1], begin, more)
+            for text, (s, m, a, b) in zip(d.tolist(), got.tolist(), strict=True):
+                if m and m >= index.need[t] and (told is None or [x for i in range(w.ptr[text] + a, w.ptr[text] + b) if tells(x := w.word(i))] == told):
+                    found.setdefault(text, set()).add((m, s, a, b, t))
     for d, some in found.items():
         taken: list[tuple[int, int]] = []
         for m, _, a, b, t in sorted(some, key=lambda x: (-x[0], -x[1], x[2], len(index.words[x[4]]), x[4])):

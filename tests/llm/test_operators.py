@@ -304,6 +304,75 @@ def license_texts():
     return [*out, None, ""]
 
 
+def plain_align(template, text, begin, more=0):
+    """A cell at a time: score, matched words and span of the template near ``begin`` to ``begin + more``."""
+    band = license_scan.BAND
+    score, match, first = {}, {}, {}
+    best = (0, 0, 0, 1 << 40)
+    template, text = template.tolist(), text.tolist()
+    for i, word in enumerate(template):
+        for d in range(2 * band + 1 + more):
+            j = begin - band + d + i
+            same = 0 <= j < len(text) and text[j] == word
+            s, m, f = score.get((i - 1, d), 0) + (1 if same else -1), match.get((i - 1, d), 0) + same, first.get((i - 1, d), -1)
+            f = j if same and f < 0 else f
+            for at in ((i - 1, d + 1), (i, d - 1)):
+                known = score[at] if at in score else 0 if i == 0 and at[0] < 0 and at[1] < 2 * band + 1 + more else -(1 << 40)
+                if known - 1 > s:
+                    s, m, f = known - 1, match.get(at, 0), first.get(at, -1)
+            if s <= 0 and m == 0:
+                s, f = 0, -1
+            score[i, d], match[i, d], first[i, d] = s, m, f
+            if m and same and s >= 0 and (s > best[0] or s == best[0] and j + 1 < best[3]):
+                best = (s, m, f, j + 1)
+    return best if best[1] else (0, 0, 0, 0)
+
+
+def test_license_alignment_against_cells():
+    r = np.random.default_rng(2)
+    words = r.integers(0, 6, 120).astype(np.uint64)
+    for n, more in ((3, 0), (7, 0), (25, 0), (25, 13), (1, 2)):
+        template = words[40 : 40 + n]
+        begin = np.arange(-n - 9, 70, 3)
+        start, end = np.full(len(begin), 30), np.full(len(begin), 90)
+        got = license_scan.align(template, words, start, end, begin, more)
+        assert [tuple(x) for x in got.tolist()] == [plain_align(template, words[30:90], b, more) for b in begin.tolist()]
+
+
+def test_license_fingerprints_recall_long_templates():
+    from meshwright.llm.arrowtext import ALNUM, Words
+
+    index = license_scan.Index(license_scan.TEMPLATES)
+    long = [t for t, w in enumerate(index.words) if len(w) >= license_scan.LONG]
+    r, texts = random.Random(11), []
+    for t in long:
+        words = license_scan.TEMPLATES[index.names[t]].split()
+        for share in (0, 0.1, 0.2, 0.3, 0.35):
+            for _ in range(4):
+                texts.append(text(len(texts), 30) + " " + " ".join(r.choice(WORDS) if r.random() < share else x for x in words) + " " + text(len(texts), 30))
+            begin = r.randrange(max(1, int(len(words) * 0.35)))
+            texts.append(" ".join(words[begin : begin + int(len(words) * 0.65)]))
+    w = Words(pa.array(texts), ALNUM)
+    h = w.hashes()
+    reached = {(d, t) for d, t, _, _ in license_scan.candidates(index, h, w.ptr)}
+    met = total = 0
+    for t in long:
+        n = len(index.words[t])
+        size = np.diff(w.ptr)
+        every = license_scan.align(index.words[t], h, w.ptr[:-1], w.ptr[1:], np.full(len(texts), -n), int(size.max()) + 2 * n)
+        accepted = {(d, t) for d in np.flatnonzero(every[:, 1] >= index.need[t]).tolist()}
+        met, total = met + len(accepted & reached), total + len(accepted)
+    assert total > 200 and met >= 0.99 * total
+
+
+def test_winnowing_meets_every_common_run():
+    h = np.random.default_rng(5).integers(0, 2**63, 200).astype(np.uint64)
+    g = license_scan.grams(h)
+    kept = license_scan.winnowed(g)
+    assert len(kept) < 0.7 * len(g) and all(((kept >= a) & (kept < a + license_scan.WINDOW)).any() for a in range(len(g) - license_scan.WINDOW + 1))
+    assert len(license_scan.winnowed(g[:0])) == 0 and len(license_scan.winnowed(g[:2])) == 1
+
+
 def test_license_candidates_against_every_alignment():
     from meshwright.llm.arrowtext import ALNUM, Words
 
@@ -317,8 +386,9 @@ def test_license_candidates_against_every_alignment():
         for d, _, first, last in license_scan.candidates(index, h, w.ptr):
             reached.setdefault(d, set()).update(range(first, last + 1))
         for d in range(len(texts)):
-            own = h[w.ptr[d] : w.ptr[d + 1]]
-            accepted = {b for b in range(-len(index.words[0]) - 8, len(own) + 9) if license_scan.align(index.words[0], own, b)[1] >= index.need[0]} if len(own) < 50 else set()
+            begin = np.arange(-len(index.words[0]) - 8, w.ptr[d + 1] - w.ptr[d] + 9)
+            got = license_scan.align(index.words[0], h, np.full(len(begin), w.ptr[d]), np.full(len(begin), w.ptr[d + 1]), begin)
+            accepted = set(begin[got[:, 1] >= index.need[0]].tolist()) if w.ptr[d + 1] - w.ptr[d] < 50 else set()
             assert accepted <= reached.get(d, set()), (name, texts[d])
 
 
