@@ -162,14 +162,22 @@ def tells(word: bytes) -> bool:
     return word.isdigit() or word.decode("utf-8", "replace") in TELLING
 
 
-def align(template: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, more: int = 0) -> np.ndarray:
-    """Rows (score, matched words, first word, past the last): the template in texts ``words[start:end]``, near ``begin`` to ``begin + more``.
+def align(templates: list[np.ndarray], which: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, more: int = 0) -> np.ndarray:
+    """Rows (score, matched words, first word, past the last): templates ``which`` in texts ``words[start:end]``, near ``begin`` to ``begin + more``.
 
     Words match for 1, others and gaps cost 1; what a text has before and after the template is free. Of equal scores the
     earlier end stays. Cells of template word i and diagonal d, text word begin - BAND + d + i, hang on those of 2 i + d less 1 and
     less 2, so all cells of one sum are computed at once, for all texts.
     """
-    width, rows, n = 2 * BAND + 1 + more, len(begin), len(template)
+    used, row = np.unique(which, return_inverse=True)
+    sizes = np.array([len(templates[t]) for t in used.tolist()], np.int64)
+    width, rows, n = 2 * BAND + 1 + more, len(begin), int(sizes.max(initial=0))
+    if not n or not len(words):
+        return np.zeros((rows, 4), np.int64)
+    whole = np.zeros((len(used), n), np.uint64)
+    for k, t in enumerate(used.tolist()):
+        whole[k, : sizes[k]] = templates[t]
+    whole, sizes = whole[row], sizes[row]
     score, match, first = (np.zeros((rows, width + 2), np.int64) for _ in range(3))  # a diagonal's latest cell; one more at either side
     first[:] = -1
     score[:, 0] = score[:, -1] = -(1 << 40)
@@ -180,12 +188,12 @@ def align(template: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.nd
         d = np.arange(max(front % 2, front - 2 * (n - 1)), min(width - 1, front) + 1, 2)
         i = (front - d) // 2
         j = (begin - BAND)[:, None] + d + i
-        same = (j >= 0) & (j < (end - start)[:, None])
-        same &= words[np.clip(j + start[:, None], 0, far)] == template[i]
-        at = d + 1
+        same = words[np.minimum(np.maximum(j + start[:, None], 0), far)] == whole[:, i]
+        same &= (j >= 0) & (j < (end - start)[:, None]) & (i < sizes[:, None])
+        at = slice(d[0] + 1, d[-1] + 2, 2)
         s, m, f = score[:, at] + np.where(same, 1, -1), match[:, at] + same, first[:, at]
         f = np.where(same & (f < 0), j, f)
-        for side in (at + 1, at - 1):  # the template's word is missing; the text has a word too many
+        for side in (slice(d[0] + 2, d[-1] + 3, 2), slice(d[0], d[-1] + 1, 2)):  # the template's word is missing; the text has a word too many
             s2 = score[:, side] - 1
             over = s2 > s
             s, m, f = np.where(over, s2, s), np.where(over, match[:, side], m), np.where(over, first[:, side], f)
@@ -235,21 +243,22 @@ def matches(index: Index, texts) -> list[list[dict]]:
     h = w.hashes()
     out: list[list[dict]] = [[] for _ in range(len(w.ptr) - 1)]
     found: dict[int, set[tuple[int, int, int, int, int]]] = {}
-    tries: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (template, more): (text, begin)
+    tries: dict[tuple[int, int], list[tuple[int, int, int]]] = {}  # (words at most, more): (template, text, begin)
     for d, t, first, last in candidates(index, h, w.ptr):
         if len(index.words[t]) < LONG:
-            tries.setdefault((t, 0), []).extend((d, begin) for begin in range(first, last + 1))
+            tries.setdefault((LONG, 0), []).extend((t, d, begin) for begin in range(first, last + 1))
         else:
-            tries.setdefault((t, 0), []).extend((d, begin) for begin in [*range(first, last, BAND), last])
+            size = 1 << len(index.words[t]).bit_length()
+            tries.setdefault((size, 0), []).extend((t, d, begin) for begin in [*range(first, last, BAND), last])
             if last > first:
-                tries.setdefault((t, last - first), []).append((d, first))
-    for (t, more), places in tries.items():
-        told, template = index.telling[t], index.words[t]
-        step = max(1, ALIGNED // (2 * BAND + 1 + more))
+                tries.setdefault((size, last - first), []).append((t, d, first))
+    for (size, more), places in tries.items():
+        step = max(1, ALIGNED // (2 * BAND + 1 + more + size))
         for k in range(0, len(places), step):
-            d, begin = np.array(places[k : k + step]).T
-            got = align(template, h, w.ptr[d], w.ptr[d + 1], begin, more)
-            for text, (s, m, a, b) in zip(d.tolist(), got.tolist(), strict=True):
+            which, d, begin = np.array(places[k : k + step]).T
+            got = align(index.words, which, h, w.ptr[d], w.ptr[d + 1], begin, more)
+            for t, text, (s, m, a, b) in zip(which.tolist(), d.tolist(), got.tolist(), strict=True):
+                told = index.telling[t]
                 if m and m >= index.need[t] and (told is None or [x for i in range(w.ptr[text] + a, w.ptr[text] + b) if tells(x := w.word(i))] == told):
                     found.setdefault(text, set()).add((m, s, a, b, t))
     for d, some in found.items():
