@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions
 
-from . import classify, solid
+from . import classify, solid, terrain
 from . import text as F
 from .mesh import KEY
 from .solid import corners, highest, let, lowest, median, percentile, structs, total
@@ -264,3 +264,38 @@ def flat(rich: DataFrame, key: str = KEY) -> DataFrame:
         "front_back_area_ratio": F.expr("IF(front_area + back_area > 0, round(greatest(front_area, back_area) / greatest(least(front_area, back_area), 1e-6), 3), 1D)"),
     } | {f"{c}_area_m2": F.col(f"{c}_area") for c in ("crown", "foundation", "front", "back")})
     return out.select(key, "is_wall_like", "element_role", "confidence", *VARIABLES)
+
+
+def clearance(solids: DataFrame, polygon: list[tuple[float, float]], slices: int = 20, reference_z: float = 0.0, trim: float = 0.05, paired: int = 50, key: str = KEY) -> DataFrame:
+    """(key, n_violations, n_slices_checked, max_penetration_mm, clear, violations): what of a mesh is inside a clear profile drawn along its line.
+
+    Slices stand at even fractions of the line, its ends trimmed; each takes the line's point below its place, so points may come
+    again and count again. A slice holds the vertices near its point and the midpoints of all pairs of the first ``paired`` of them. The
+    profile is in (across, z over ``reference_z``). ``violations``: position_m, n_vertices and max_penetration_mm of each slice with
+    points inside, in the line's order. Elements without a line are clear, with no slices checked. A row an element, no shuffle.
+    """
+    fractions = [trim + (1 - 2 * trim) * k / max(1, slices - 1) for k in range(slices)]
+    xy = F.transform("line", lambda f: structs(x=f["px"], y=f["py"]))
+    at = F.array(*(F.floor(F.lit(f) * (F.size("line") - 1)).cast("int") for f in fractions))
+    out = put(solids, {"_reach": slice_tolerance(F.col("line")), "_at": F.when(F.size("line") > 0, at).otherwise(F.array().cast("array<int>")), "_gone": F.transform(solid.segments(xy), lambda s: s["n"])})
+    out = solid.fixed(out.select(key, "v", "line", "_reach", "_at", "_gone"))
+
+    def points(f: Column) -> Column:
+        near = F.filter("v", lambda p: ((f["tx"] != 0) | (f["ty"] != 0)) & (F.abs((p["x"] - f["px"]) * f["tx"] + (p["y"] - f["py"]) * f["ty"]) < F.col("_reach")))
+        flat = F.transform(near, lambda p: structs(x=(p["x"] - f["px"]) * f["nx"] + (p["y"] - f["py"]) * f["ny"], y=p["z"] - F.lit(reference_z)))
+        middle = lambda p, q: structs(x=(p["x"] + q["x"]) / 2, y=(p["y"] + q["y"]) / 2)
+        pairs = lambda a: F.flatten(F.transform(F.slice(a, F.lit(1), F.lit(paired)), lambda p, k: F.transform(F.slice(F.slice(a, F.lit(1), F.lit(paired)), k + 2, F.lit(paired)), lambda q: middle(p, q))))
+        return let(flat, lambda a: F.concat(a, pairs(a)))
+
+    out = solid.fixed(put(out, {"_points": F.transform(F.array_distinct("_at"), lambda i: structs(i=i, p=let(F.get("line", i), points)))}))
+    inside, near = terrain.polygon_text(polygon, "p.x", "p.y")
+    out = solid.fixed(put(out, {"_in": F.expr(f"filter(transform(_points, s -> named_struct('i', s.i, 'depth', transform(filter(s.p, p -> {inside}), p -> {near}))), s -> size(s.depth) > 0)")}))
+    found = F.expr(
+        "flatten(transform(_in, s -> array_repeat(named_struct('position_m', round(aggregate(slice(_gone, 1, s.i), 0D, (x, y) -> x + y), 2), 'n_vertices', CAST(size(s.depth) AS BIGINT), "
+        "'max_penetration_mm', round(array_max(s.depth) * 1000, 1)), size(filter(_at, x -> x = s.i)))))"
+    )
+    out = solid.fixed(put(out, {"violations": found}))
+    return out.selectExpr(
+        key, "aggregate(violations, 0L, (x, s) -> x + s.n_vertices) AS n_violations", "CAST(size(_at) AS BIGINT) AS n_slices_checked",
+        "coalesce(array_max(transform(violations, s -> s.max_penetration_mm)), 0D) AS max_penetration_mm", "size(violations) = 0 AS clear", "violations",
+    )

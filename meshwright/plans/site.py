@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, measure, mesh, pairs, stats, terrain
+from ..operators import classify, measure, mesh, pairs, solid, stats, terrain
 from ..report import sinks
 from ..rules.evaluate import BASIC, evaluate, summary
 from ..sources import tables
@@ -132,6 +132,15 @@ def clearance_check(spark, d):
     return c.groupBy("element_id").agg(F.count_if("inside").alias("n_inside"), F.round(F.max("depth"), 6).alias("max_depth"))
 
 
+#: A profile whose sides no vertex or midpoint of the derived walls touches.
+_PATH, _PATH_Z = [(-0.30534, 0.0), (0.30534, 0.0), (0.30534, 3.30174), (-0.30534, 3.30174)], 0.07
+
+
+def line_clearance(spark, d):
+    """Walls against a path's profile drawn along their own centreline."""
+    return measure.clearance(solid.with_centreline(classified(spark, d)), _PATH, reference_z=_PATH_Z).drop("violations")
+
+
 def taper_profile(spark, d):
     t = measure.with_taper(classified(spark, d)).where("n_slices > 0")
     return t.select("element_id", "n_slices", *(F.round(n, 5).alias(n) for n in ("thickness_min_mm", "thickness_max_mm")))
@@ -267,7 +276,7 @@ far AS (SELECT *, greatest(0, least(1, ((x - p) * (r - p) + (y - q) * (s - q)) /
 pip AS (SELECT {keep}, sum(CASE WHEN ((y < q) <> (y < s)) AND x < (r - p) * (y - q) / coalesce(nullif(s - q, 0), 1) + p THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(x - p - t * (r - p), 2) + pow(y - q - t * (s - q), 2))) AS near FROM far GROUP BY ALL)"""
 
 
-QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, contact_classification, overhang, dilatation_joints, element_distances, pair_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
+QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, contact_classification, overhang, dilatation_joints, element_distances, pair_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, line_clearance, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
 _MODELS = "a0 AS (SELECT p_partkey AS element_id, p_name || '-' || (p_partkey % 1500) AS name, p_retailprice AS price, p_size AS size FROM part), b0 AS (SELECT element_id, name, CASE WHEN element_id % 13 = 0 THEN price + 25 ELSE price END AS price, CASE WHEN element_id % 7 = 0 THEN NULL ELSE size END AS size FROM a0 WHERE element_id % 17 <> 0), {x}a AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM a0 WHERE element_id % 19 <> 0 GROUP BY 1), b AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM b0 GROUP BY 1)".replace("{x}", "")
 SQL = {
     "aabb_pairs": f"{_B(1)} SELECT a_id, b_id FROM pr",
@@ -294,6 +303,9 @@ FROM dist JOIN pr USING (a_id, b_id) JOIN mv p ON p.element_id = a_id JOIN mv q
     "slice_tolerance": f"{with_(_LINE, _CURVE)} SELECT line_id, round(coalesce(median(l1) * 0.6, 0.5), 6) AS tolerance FROM cf GROUP BY 1",
     "point_in_polygon": f"{with_(_polygon_sql(_OCTAGON, 'SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings', 'vec_id'))} SELECT vec_id, inside, round(CASE WHEN inside THEN near ELSE 0 END, 6) AS depth FROM pip",
     "clearance_check": f"{with_(WALLS, VERTS, _polygon_sql(terrain.road_clearance(), 'SELECT element_id, vid, y - floor(y / 8) * 8 - 4 AS x, z AS y FROM verts', 'element_id, vid'))} SELECT element_id, count(*) FILTER (WHERE inside) AS n_inside, round(max(CASE WHEN inside THEN near ELSE 0 END), 6) AS max_depth FROM pip GROUP BY 1",
+    "line_clearance": f"""{with_(WALLS, VERTS)}, se AS (SELECT element_id, vid, y - (y0 + t / 2 + dy / 4) AS x, z - {_PATH_Z} AS y FROM verts JOIN walls USING (element_id) WHERE vid IN (0, 3, 4, 7)),
+sp AS (SELECT element_id, vid AS a, -1 AS b, x, y FROM se UNION ALL SELECT p.element_id, p.vid, q.vid, (p.x + q.x) / 2, (p.y + q.y) / 2 FROM se p JOIN se q ON p.element_id = q.element_id AND p.vid < q.vid), {_polygon_sql(_PATH, 'SELECT element_id, a, b, x, y FROM sp', 'element_id, a, b')}
+SELECT element_id, 20 * count(*) FILTER (WHERE inside) AS n_violations, 20::BIGINT AS n_slices_checked, round(max(CASE WHEN inside THEN near ELSE 0 END) * 1000, 1) AS max_penetration_mm, count(*) FILTER (WHERE inside) = 0 AS clear FROM pip GROUP BY 1""",
     "taper_profile": f"""{_TO(_LABEL, _POINTS)}, sp AS (SELECT element_id, min(z) AS lo, max(z) - min(z) AS h FROM pts WHERE category IN ('front', 'back') GROUP BY 1), sl AS (SELECT element_id, lo, h, i, lo + h * (0.05 + 0.9 * i / 9) AS height FROM sp, range(10) r(i)),
 th AS (SELECT element_id, i, abs(median(across) FILTER (WHERE category = 'front') - median(across) FILTER (WHERE category = 'back')) * 1000 AS th FROM sl JOIN pts USING (element_id) WHERE category IN ('front', 'back') AND abs(z - height) <= h / 10 * 0.6 GROUP BY ALL)
 SELECT element_id, count(*) AS n_slices, round(min(th), 5) AS thickness_min_mm, round(max(th), 5) AS thickness_max_mm FROM th WHERE th IS NOT NULL GROUP BY 1""",
