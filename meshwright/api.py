@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import classify, context, measure, mesh, pairs, solid, terrain
+from .operators import classify, context, measure, mesh, pairs, solid, spread, terrain
 from .rules.evaluate import evaluate, summary
 from .rules.rulesets import ruleset as shipped
 from .sources import site, spf
@@ -58,7 +58,7 @@ class Models:
     @cached_property
     def solids(self) -> DataFrame:
         """A row an element, with levels 2 and 3."""
-        return cut(measure.enriched(classify.classified(solid.rows(self.triangles))))
+        return cut(measure.enriched(classify.classified(solid.rows(spread.dealt(self.triangles, "element_id", 1)))))
 
     @cached_property
     def measurements(self) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: A side of at most so many rows is broadcast; beyond it rows of a key are dealt to ``SALTS`` places.
 BROADCAST_ROWS = 20_000
 SALTS = 64
+#: Triangles that one task should measure: some seconds of work, in few bytes.
+TASK_TRIANGLES = 8_000
+#: Tasks a core at most; beyond that tasks only grow.
+WAVES = 16
 
 
 def fits(small: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -27,3 +31,12 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def dealt(rows: DataFrame, key: str, triangles: int, a_task: int = TASK_TRIANGLES) -> DataFrame:
+    """``rows`` over as many tasks as their meshes, of ``triangles`` a row, call for: bytes of a table of sizes say nothing of them.
+
+    One shuffle of the few columns that meshes are made of, where the table gives fewer tasks (its rows are counted from the files' footers).
+    """
+    wanted = min(-(-rows.count() * triangles // a_task), WAVES * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows if wanted <= 1 or rows.rdd.getNumPartitions() >= wanted else rows.repartition(int(wanted), key)

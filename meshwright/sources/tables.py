@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import dealt
+
 #: Corners of a box by vertex number, as factors of length, thickness and height (fixed values).
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
 #: Triangles of a box by face number: bottom, top, front, back, left, right (fixed values).
@@ -48,9 +50,9 @@ def triangles(walls: DataFrame) -> DataFrame:
 
 
 def meshes(walls: DataFrame) -> DataFrame:
-    """(element_id, t, v): the walls of ``vertices`` and ``triangles`` as one row an element, by projection alone."""
+    """(element_id, t, v): the walls of ``vertices`` and ``triangles`` as one row an element, dealt to tasks by their triangles."""
     faces = "array(" + ", ".join(f"named_struct('fid', {i}, 'a', {a}, 'b', {b}, 'c', {c})" for i, (a, b, c) in enumerate(FACES)) + ")"
-    rows = walls.selectExpr("element_id", f"{_points()} AS p", f"filter({faces}, f -> NOT (element_id % 13 = 5 AND f.fid = 11)) AS f")
+    rows = dealt(walls, "element_id", len(FACES)).selectExpr("element_id", f"{_points()} AS p", f"filter({faces}, f -> NOT (element_id % 13 = 5 AND f.fid = 11)) AS f")
     turned = "transform(f, f -> named_struct('fid', f.fid, 'a', f.a, 'b', IF(element_id % 11 = 3, f.c, f.b), 'c', IF(element_id % 11 = 3, f.b, f.c)))"
     corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
     rows = rows.selectExpr("element_id", f"transform({turned}, f -> named_struct('fid', f.fid, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")
@@ -94,7 +96,7 @@ def prisms(walls: DataFrame, outline: list[tuple[str, str]], caps: list[tuple[in
     faces = [f for i in range(n) for f in ((i, (i + 1) % n, n + (i + 1) % n), (i, n + (i + 1) % n, n + i))] + [(c, b, a) for a, b, c in caps] + [(n + a, n + b, n + c) for a, b, c in caps]
     listed = ", ".join(f"named_struct('fid', {i}, 'a', {a}, 'b', {b}, 'c', {c})" for i, (a, b, c) in enumerate(faces))
     corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
-    rows = walls.selectExpr("element_id", f"array({', '.join(points)}) AS p", f"array({listed}) AS f")
+    rows = dealt(walls, "element_id", len(faces)).selectExpr("element_id", f"array({', '.join(points)}) AS p", f"array({listed}) AS f")
     return rows.selectExpr("element_id", f"transform(f, f -> named_struct('fid', f.fid, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")
 
 
@@ -117,5 +119,5 @@ def bent(walls: DataFrame, segments: int = 24, turn: float = 90.0) -> DataFrame:
     part = ", ".join(f"named_struct('a', 4 * i + {p}, 'b', 4 * i + {q}, 'c', 4 * i + {r})" for a, b, c, d in quads for p, q, r in ((a, b, c), (a, c, d)))
     ends = ", ".join(f"named_struct('a', {a}, 'b', {b}, 'c', {c})" for a, b, c in [(0, 1, 3), (0, 3, 2), *((4 * segments + x, 4 * segments + y, 4 * segments + z) for x, y, z in ((0, 2, 3), (0, 3, 1)))])
     corner = ", ".join(f"'{k}{i}', p[f.{v}].{k}" for i, v in enumerate("abc") for k in "xyz")
-    rows = walls.selectExpr("element_id", f"{points} AS p", f"concat(flatten(transform(sequence(0, {segments - 1}), i -> array({part}))), array({ends})) AS f")
+    rows = dealt(walls, "element_id", 8 * segments + 4).selectExpr("element_id", f"{points} AS p", f"concat(flatten(transform(sequence(0, {segments - 1}), i -> array({part}))), array({ends})) AS f")
     return rows.selectExpr("element_id", f"transform(f, (f, i) -> named_struct('fid', i, 'a', f.a, 'b', f.b, 'c', f.c, {corner})) AS t", "transform(p, (q, i) -> named_struct('vid', i, 'x', q.x, 'y', q.y, 'z', q.z)) AS v")

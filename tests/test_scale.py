@@ -178,3 +178,17 @@ def test_heights_over_triangles_of_mixed_size(spark):
     small = {x["id"]: x["terrain_z"] for x in terrain.heights(p, t.where("fid > 1")).collect()}
     want = lambda x, y: any(px <= x and py <= y and (x - px) + (y - py) <= 0.5 for _, _, px, py, *_ in tri[2:])
     assert all((small[q["id"]] is not None) == want(q["x"], q["y"]) for q in p.collect())
+
+
+def test_meshes_are_dealt_by_their_triangles(spark, monkeypatch):
+    from meshwright.operators import spread
+    from meshwright.sources import tables
+
+    walls = tables.walls(spark, "/root/testdata/sf0.01")
+    n = walls.count()
+    plain = tables.meshes(walls.limit(100)).rdd.getNumPartitions()
+    many = tables.meshes(walls)
+    assert plain == 1 and many.rdd.getNumPartitions() == -(-n * 12 // spread.TASK_TRIANGLES) > 1
+    assert many.count() == n and many._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert tables.bent(walls).rdd.getNumPartitions() == spread.WAVES * spark.sparkContext.defaultParallelism or tables.bent(walls).rdd.getNumPartitions() == -(-n * 196 // spread.TASK_TRIANGLES)
+    assert spread.dealt(walls.limit(0), "element_id", 12).count() == 0
