@@ -62,7 +62,7 @@ def of(value) -> str:
     if isinstance(value, float):
         return f"{value!r}D"
     if isinstance(value, str):
-        return f"'{value}'"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return str(value)
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import classify, context, measure, pairs, terrain
+from ..operators.anomalies import detected
 from ..report import sinks
 from ..rules.evaluate import evaluate
 from ..rules.rulesets import ruleset
@@ -93,14 +94,7 @@ def profile_variation(spark, d):
 def anomalies(spark, d):
     """All detectors' findings, (element_id, type), over walls of which every third is a quarter as thick."""
     thin = classify.classified(tables.meshes(tables.walls(spark, d).withColumn("t", F.expr("IF(element_id % 3 = 0, t / 4, t)"))))
-    s = measure.context(thin).withColumns({"_front": F.col("front_area_m2"), "_back": F.col("back_area_m2")})
-    g = classify.describe(thin)
-    missing = g.where("element_role = 'wall_stem' AND (crown_count = 0 OR foundation_count = 0 OR front_count = 0 OR back_count = 0)").select("element_id", F.lit("missing_faces").alias("type"))
-    unclear = g.where("unclassified_area > 0.2 * (" + " + ".join(f"{c}_area" for c in classify.CATEGORIES) + ")").select("element_id", F.lit("high_unclassified").alias("type"))
-    sides = s.where("_front > 0 AND _back > 0 AND greatest(_front, _back) > 2 * least(_front, _back)").select("element_id", F.lit("asymmetric_front_back").alias("type"))
-    slender = s.where("bbox_dim_max_m > 50 * bbox_dim_min_m").select("element_id", F.lit("extreme_aspect_ratio").alias("type"))
-    narrow = s.where("crown_width_mm > 0 AND crown_width_mm < 0.5 * min_wall_thickness_mm").select("element_id", F.lit("crown_narrower_than_thickness").alias("type"))
-    return missing.union(unclear).union(sides).union(slender).union(narrow)
+    return detected(cut(measure.enriched(thin)))
 
 
 def overall_summary(spark, d):
@@ -192,7 +186,7 @@ SELECT element_id, rule_id, round(v, 3) AS actual_value, printf('actual %.3f', v
     "planarity": f"{_W} SELECT element_id, unnest(['box', 'folded']) AS kind, unnest([true, false]) AS is_planar FROM walls",
     "multi_sections": f"{_W} SELECT element_id, 12::BIGINT AS n, round(t + 0.5, 6) AS width, round(h, 6) AS height, 5::BIGINT AS n_outline FROM walls",
     "profile_variation": f"{_W} SELECT element_id, true AS steady_width FROM walls",
-    "anomalies": f"{_CK.replace(_T, _THIN)}, an AS (SELECT element_id, unnest(['missing_faces', 'high_unclassified', 'asymmetric_front_back', 'extreme_aspect_ratio', 'crown_narrower_than_thickness']) AS type, unnest([element_role = 'wall_stem' AND least(crown_count, foundation_count, front_count, back_count) = 0, unclassified_area > 0.2 * ({' + '.join(f'{c}_area' for c in classify.CATEGORIES)}), front_area > 0 AND back_area > 0 AND greatest(front_area, back_area) > 2 * least(front_area, back_area), greatest(bx, by_, bz) > 50 * least(bx, by_, bz), coalesce(crown_width_mm > 0 AND crown_width_mm < 0.5 * min_wall_thickness_mm, false)]) AS hit FROM ctx) SELECT element_id, type FROM an WHERE hit",
+    "anomalies": f"{_CK.replace(_T, _THIN)}, an AS (SELECT element_id, unnest(['missing_faces', 'high_unclassified', 'asymmetric_front_back', 'extreme_aspect_ratio', 'crown_narrower_than_thickness']) AS type, unnest([element_role = 'wall_stem' AND least(crown_count, foundation_count, front_count, back_count) = 0, unclassified_area > 0.2 * ({' + '.join(f'{c}_area' for c in classify.CATEGORIES)}), front_area > 0 AND back_area > 0 AND greatest(front_area, back_area) > 2 * least(front_area, back_area), greatest(bx, by_, bz) > 50 * least(bx, by_, bz), coalesce(crown_width_mm > 0 AND crown_width_mm < 0.5 * min_wall_thickness_mm, false)]) AS hit FROM ctx), nm AS (SELECT element_id, avg((x0 + x1 + x2) / 3) AS mx, avg((y0 + y1 + y2) / 3) AS my, avg((z0 + z1 + z2) / 3) AS mz FROM tris GROUP BY 1), nv AS (SELECT element_id, (x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx)) AS v FROM tris JOIN nm USING (element_id)) SELECT element_id, type FROM an WHERE hit UNION ALL SELECT element_id, 'inconsistent_normals' FROM nv GROUP BY 1 HAVING count(*) >= 4 AND least(count(*) FILTER (WHERE v > 0), count(*) FILTER (WHERE v < 0)) > 0.3 * count(*)",
     "overall_summary": f"{_CK} SELECT (SELECT count(*) FROM walls) AS total_elements, (SELECT count(*) FROM walls) AS validated, 0::BIGINT AS errors, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'FAIL') AS failed, count(*) FILTER (WHERE status = 'SKIP') AS skipped, CASE WHEN count(*) FILTER (WHERE status = 'FAIL' AND severity = 'ERROR') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM checks",
     "robust_range": f"{_W} SELECT min(th) AS lowest, max(th) AS highest FROM (SELECT th, bool_and(ok) AS every FROM (SELECT th, m >= th AS ok FROM (SELECT model_id, max(t) AS m FROM walls GROUP BY 1), (SELECT 0.125::DOUBLE + i * 0.125::DOUBLE AS th FROM range(6) r(i))) GROUP BY 1) WHERE every",
     "alignment_radius": f"""{with_(WALLS, _LINE)}, dd AS (SELECT element_id, l, line_id, i, pow(x0 + l / 2 - lx, 2) + pow(y0 + t / 2 - ly, 2) AS d FROM walls, line), rk AS (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY d, line_id, i) AS r FROM dd),
