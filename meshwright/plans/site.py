@@ -39,6 +39,12 @@ def aabb_overlap(spark, d):
     return pairs.overlap_volume(pairs.box_pairs(_boxes(spark, d), 0.0)).select("a_id", "b_id", "overlap_volume")
 
 
+def overlap_check(spark, d):
+    """Overlapping walls with the vertices and middles of sides that reach into the other."""
+    w = tables.walls(spark, d)
+    return pairs.penetration(pairs.box_pairs(_wall_boxes(spark, d), 0.0), tables.vertices(w), tables.triangles(w))
+
+
 def _contact(spark, d):
     b = _boxes(spark, d)
     return pairs.contact(pairs.box_pairs(b, 1.0), _box_triangles(b))
@@ -276,13 +282,17 @@ far AS (SELECT *, greatest(0, least(1, ((x - p) * (r - p) + (y - q) * (s - q)) /
 pip AS (SELECT {keep}, sum(CASE WHEN ((y < q) <> (y < s)) AND x < (r - p) * (y - q) / coalesce(nullif(s - q, 0), 1) + p THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(x - p - t * (r - p), 2) + pow(y - q - t * (s - q), 2))) AS near FROM far GROUP BY ALL)"""
 
 
-QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, contact_classification, overhang, dilatation_joints, element_distances, pair_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, line_clearance, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
+QUERIES = {f.__name__: f for f in (aabb_pairs, pair_gaps, nearby_pairs_grid, aabb_overlap, overlap_check, contact_classification, overhang, dilatation_joints, element_distances, pair_distances, nearest_neighbor_distance, terrain_height, crown_clearance, foundation_embedment, terrain_side, alignment_context, curvature_profile, slice_tolerance, point_in_polygon, clearance_check, line_clearance, taper_profile, cross_section_extent, anomaly_missing_faces, anomaly_aspect, anomaly_profile_steps, normal_consistency, summary_stats, mad_outliers, model_compare, model_unmatched, entity_scan, name_glob_filter, threshold_sweep, csv_sanitize, pset_properties, report_json, ci_summary)}
 _MODELS = "a0 AS (SELECT p_partkey AS element_id, p_name || '-' || (p_partkey % 1500) AS name, p_retailprice AS price, p_size AS size FROM part), b0 AS (SELECT element_id, name, CASE WHEN element_id % 13 = 0 THEN price + 25 ELSE price END AS price, CASE WHEN element_id % 7 = 0 THEN NULL ELSE size END AS size FROM a0 WHERE element_id % 17 <> 0), {x}a AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM a0 WHERE element_id % 19 <> 0 GROUP BY 1), b AS (SELECT name, arg_max(price, element_id) AS price, arg_max(coalesce(size, 0), element_id) AS size FROM b0 GROUP BY 1)".replace("{x}", "")
 SQL = {
     "aabb_pairs": f"{_B(1)} SELECT a_id, b_id FROM pr",
     "pair_gaps": f"{_B(1)} SELECT a_id, b_id, gap_x, gap_y, gap_z FROM pr",
     "nearby_pairs_grid": f"{_B(5)} SELECT a_id, b_id, round(sqrt(gap_x * gap_x + gap_y * gap_y) * 1000, 1) AS distance_xy_mm FROM pr",
     "aabb_overlap": f"{_B(0)} SELECT a_id, b_id, {' * '.join(f'(least(a_max_{c}, b_max_{c}) - greatest(a_min_{c}, b_min_{c}))' for c in 'xyz')} AS overlap_volume FROM pr WHERE {' AND '.join(f'least(a_max_{c}, b_max_{c}) > greatest(a_min_{c}, b_min_{c})' for c in 'xyz')}",
+    "overlap_check": f"""{with_(WALLS, VERTS, TRIS, BOXES, "wb AS (SELECT * FROM boxes WHERE element_id >= 0)", _PAIRS(0, 'wb'))}, ov AS (SELECT *, {' * '.join(f'(least(a_max_{c}, b_max_{c}) - greatest(a_min_{c}, b_min_{c}))' for c in 'xyz')} AS vol FROM pr WHERE {' AND '.join(f'least(a_max_{c}, b_max_{c}) > greatest(a_min_{c}, b_min_{c})' for c in 'xyz')}),
+mids AS (SELECT element_id, unnest([(x0 + x1) / 2, (x1 + x2) / 2, (x0 + x2) / 2]) AS x, unnest([(y0 + y1) / 2, (y1 + y2) / 2, (y0 + y2) / 2]) AS y, unnest([(z0 + z1) / 2, (z1 + z2) / 2, (z0 + z2) / 2]) AS z FROM tris),
+pen AS (SELECT a_id, b_id, vol, {', '.join(f"(SELECT count(*) FROM {t} p WHERE p.element_id = {p}_id AND {' AND '.join(f'p.{c} BETWEEN {q}_min_{c} AND {q}_max_{c}' for c in 'xyz')}) AS {n}" for t, p, q, n in (('verts', 'a', 'b', 'a_in_b'), ('verts', 'b', 'a', 'b_in_a'), ('mids', 'a', 'b', 'edges_in_b')))} FROM ov)
+SELECT a_id, b_id, round(vol, 4) AS overlap_volume_m3, a_in_b, b_in_a, edges_in_b, a_in_b + b_in_a + edges_in_b AS n_penetrating, a_in_b + b_in_a + edges_in_b = 0 AS clear FROM pen""",
     "contact_classification": f"{with_(WALLS, BOXES, _PAIRS(1), _CONTACT)} SELECT a_id, b_id, pair_type, upper_id, lower_id FROM ct",
     "overhang": f"""{with_(WALLS, BOXES, _PAIRS(1), _CONTACT)}, oh AS (SELECT upper_id, lower_id, u.max_x - u.min_x AS sx, u.max_y - u.min_y AS sy, least(u.min_x - l.min_x, l.max_x - u.max_x, u.min_y - l.min_y, l.max_y - u.max_y) AS m, u.min_z - l.max_z AS g FROM ct JOIN boxes u ON u.element_id = upper_id JOIN boxes l ON l.element_id = lower_id)
 SELECT upper_id, lower_id, m >= -greatest(sx, sy) * 1e-6 AS extends, round(greatest(m, 0) * 1000, 1) AS overhang_mm, round(g * 1000, 1) AS vertical_gap_mm FROM oh""",

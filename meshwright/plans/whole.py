@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, context, measure, pairs, terrain
+from ..operators import classify, context, measure, pairs, sweep, terrain
 from ..operators.anomalies import detected
 from ..report import sinks
 from ..rules.evaluate import evaluate
@@ -14,8 +14,9 @@ from ..rules.rulesets import ruleset
 from ..sources import tables
 from ..sources.cut import cut
 from .site import _CONTACT, _NEAR, _PAIRS, _SIDE, _boxes, _box_triangles, _HEIGHT, _line, _LINE
+from .l1 import _CLOSE, GROUPED
 from .sql_base import BOXES, TERRAIN, WALLS, with_
-from .walls import _CK, _SLOPE, _R, _groups, classified
+from .walls import _CK, _GS, _LABEL, _OWN, _SLOPE, _R, _groups, classified
 from .walls import context as measured
 
 
@@ -114,6 +115,25 @@ def robust_range(spark, d):
     return ok.agg(F.min("threshold").alias("lowest"), F.max("threshold").alias("highest"))
 
 
+#: Angles that the sweep tries, about those where the derived walls' batters and falls begin to tell.
+TRIED = {"horizontal_deg": [1.0, 3.0, 5.0, 20.0, 45.0, 70.0, 86.5, 87.5, 88.5], "lateral_deg": [5.0, 45.0, 85.0], "coplanar_deg": [0.5, 5.0, 20.0]}
+
+
+def _tried(spark, d):
+    one = F.expr("map(" + ", ".join(f"'{c}', 1L" for c in classify.CATEGORIES[:-1]) + ")")
+    return sweep.classifications(tables.meshes(tables.walls(spark, d)).withColumn("expected", one), TRIED)
+
+
+def classification_sweep(spark, d):
+    """Surfaces by category at each angle tried, and whether each wall has one of every kind."""
+    return _tried(spark, d)
+
+
+def robust_settings(spark, d):
+    """By angle the values at which every wall keeps one surface of every kind."""
+    return sweep.robust_ranges(_tried(spark, d))
+
+
 def alignment_radius(spark, d):
     """Of walls along arcs of radius 2 l the radius of the nearest polyline's bend, and theirs over it."""
     w = tables.walls(spark, d).selectExpr("element_id", "x0 + l / 2 AS x", "y0 + t / 2 AS y", "2 * l AS min_radius_m")
@@ -167,9 +187,26 @@ _SITE += f", {_STACK}, {_NB}, nst AS (SELECT element_id, min(min_distance_mm) AS
 _SITE += """, sl3 AS (SELECT s.element_id, max(cross_pct) AS cross_slope_max_pct FROM slo s JOIN comp USING (element_id, fid) JOIN lab l ON l.element_id = s.element_id AND l.group_id = component WHERE category = 'crown' GROUP BY 1),
 sitectx AS (SELECT c.*, is_watertight AS mesh_is_watertight, NULL::DOUBLE AS crown_width_cv, cross_slope_max_pct, foundation_extends_beyond_wall, wall_foundation_gap_mm, min_distance_to_nearest_mm, foundation_embedment_m, crown_height_above_terrain_m, e.element_id IS NOT NULL AS earth_side_determined
   FROM ctx c LEFT JOIN stk USING (element_id) LEFT JOIN nst USING (element_id) LEFT JOIN emb USING (element_id) LEFT JOIN clr USING (element_id) LEFT JOIN sl3 USING (element_id) LEFT JOIN (SELECT DISTINCT element_id FROM sided) e USING (element_id))"""
+
+
+def _setting_sql(param: str, value: float) -> str:
+    """Level 2 at one setting, a statement of its own: groups, categories, and groups of one category that meet made one."""
+    at = sweep.ANGLES | {param: value}
+    closed = _CLOSE.format(pairs="same").replace("reach", "reach2").replace("comp AS", "comp2 AS")
+    label = _LABEL.replace("abs(gz) > cos(radians(45))", f"abs(gz) > cos(radians({at['horizontal_deg']}::DOUBLE))").replace("nullif(flat, 0)) > cos(radians(45))", f"nullif(flat, 0)) > cos(radians({at['lateral_deg']}::DOUBLE))")
+    grouped = [g.replace("radians(5)", f"radians({at['coplanar_deg']}::DOUBLE)") for g in GROUPED]
+    cat = "cat AS (SELECT element_id, fid, category FROM comp JOIN (SELECT element_id, group_id AS component, category FROM lab) USING (element_id, component))"
+    same = "same AS (SELECT j.* FROM adj j JOIN cat p ON p.element_id = j.element_id AND p.fid = j.f JOIN cat q ON q.element_id = j.element_id AND q.fid = j.g WHERE p.category = q.category)"
+    counts = ", ".join(f"count(DISTINCT component) FILTER (WHERE category = '{c}') AS {c}" for c in classify.CATEGORIES)
+    right = " AND ".join(f"{c} = 1" for c in classify.CATEGORIES[:-1])
+    return f"""(SELECT *, {right} AS correct FROM ({with_(*grouped, _GS, _OWN, label, cat, same, closed)}
+SELECT element_id, '{param}' AS param, {value}::DOUBLE AS value, count(DISTINCT component) AS num_groups, {counts} FROM comp2 JOIN cat USING (element_id, fid) GROUP BY 1))"""
+
+
+_TRIED = " UNION ALL ".join(_setting_sql(p, v) for p, values in TRIED.items() for v in values)
 _NAMES = "foundation_extends_beyond_wall, wall_foundation_gap_mm, min_distance_to_nearest_mm, foundation_embedment_m, crown_height_above_terrain_m, earth_side_determined"
 
-QUERIES = {f.__name__: f for f in (site_context, site_rule_checks, earth_side, rule_messages, bent_walls, bent_groups, stepped_crowns, folded_fronts, planarity, multi_sections, profile_variation, anomalies, overall_summary, robust_range, alignment_radius, viewer_scenes, explained_groups)}
+QUERIES = {f.__name__: f for f in (site_context, site_rule_checks, earth_side, rule_messages, bent_walls, bent_groups, stepped_crowns, folded_fronts, planarity, multi_sections, profile_variation, anomalies, overall_summary, robust_range, classification_sweep, robust_settings, alignment_radius, viewer_scenes, explained_groups)}
 _W = with_(WALLS)
 _T = "0.25::DOUBLE + (p_partkey % 4) * 0.125::DOUBLE AS t"
 _THIN = "(0.25::DOUBLE + (p_partkey % 4) * 0.125::DOUBLE) / CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 1 END AS t"
@@ -189,6 +226,9 @@ SELECT element_id, rule_id, round(v, 3) AS actual_value, printf('actual %.3f', v
     "anomalies": f"{_CK.replace(_T, _THIN)}, an AS (SELECT element_id, unnest(['missing_faces', 'high_unclassified', 'asymmetric_front_back', 'extreme_aspect_ratio', 'crown_narrower_than_thickness']) AS type, unnest([element_role = 'wall_stem' AND least(crown_count, foundation_count, front_count, back_count) = 0, unclassified_area > 0.2 * ({' + '.join(f'{c}_area' for c in classify.CATEGORIES)}), front_area > 0 AND back_area > 0 AND greatest(front_area, back_area) > 2 * least(front_area, back_area), greatest(bx, by_, bz) > 50 * least(bx, by_, bz), coalesce(crown_width_mm > 0 AND crown_width_mm < 0.5 * min_wall_thickness_mm, false)]) AS hit FROM ctx), nm AS (SELECT element_id, avg((x0 + x1 + x2) / 3) AS mx, avg((y0 + y1 + y2) / 3) AS my, avg((z0 + z1 + z2) / 3) AS mz FROM tris GROUP BY 1), nv AS (SELECT element_id, (x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx)) AS v FROM tris JOIN nm USING (element_id)) SELECT element_id, type FROM an WHERE hit UNION ALL SELECT element_id, 'inconsistent_normals' FROM nv GROUP BY 1 HAVING count(*) >= 4 AND least(count(*) FILTER (WHERE v > 0), count(*) FILTER (WHERE v < 0)) > 0.3 * count(*)",
     "overall_summary": f"{_CK} SELECT (SELECT count(*) FROM walls) AS total_elements, (SELECT count(*) FROM walls) AS validated, 0::BIGINT AS errors, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'FAIL') AS failed, count(*) FILTER (WHERE status = 'SKIP') AS skipped, CASE WHEN count(*) FILTER (WHERE status = 'FAIL' AND severity = 'ERROR') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM checks",
     "robust_range": f"{_W} SELECT min(th) AS lowest, max(th) AS highest FROM (SELECT th, bool_and(ok) AS every FROM (SELECT th, m >= th AS ok FROM (SELECT model_id, max(t) AS m FROM walls GROUP BY 1), (SELECT 0.125::DOUBLE + i * 0.125::DOUBLE AS th FROM range(6) r(i))) GROUP BY 1) WHERE every",
+    "classification_sweep": _TRIED,
+    "robust_settings": f"""SELECT param, count(*) AS tried, count(*) FILTER (WHERE every) AS robust, min(value) FILTER (WHERE every) AS lowest, max(value) FILTER (WHERE every) AS highest,
+  coalesce(bool_or(value = CASE param WHEN 'coplanar_deg' THEN 5 ELSE 45 END) FILTER (WHERE every), false) AS default_within FROM (SELECT param, value, bool_and(correct) AS every FROM ({_TRIED}) GROUP BY ALL) GROUP BY 1""",
     "alignment_radius": f"""{with_(WALLS, _LINE)}, dd AS (SELECT element_id, l, line_id, i, pow(x0 + l / 2 - lx, 2) + pow(y0 + t / 2 - ly, 2) AS d FROM walls, line), rk AS (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY d, line_id, i) AS r FROM dd),
 tr AS (SELECT line_id, i, lx, ly, lag(lx) OVER w AS ax, lag(ly) OVER w AS ay, lead(lx) OVER w AS bx, lead(ly) OVER w AS by_ FROM line WINDOW w AS (PARTITION BY line_id ORDER BY i)),
 ra AS (SELECT *, CASE WHEN abs((lx - ax) * (by_ - ay) - (ly - ay) * (bx - ax)) >= 1e-10 THEN sqrt(pow(lx - ax, 2) + pow(ly - ay, 2)) * sqrt(pow(bx - lx, 2) + pow(by_ - ly, 2)) * sqrt(pow(ax - bx, 2) + pow(ay - by_, 2)) / (2 * abs((lx - ax) * (by_ - ay) - (ly - ay) * (bx - ax))) END AS rad FROM tr),
