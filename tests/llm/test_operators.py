@@ -586,3 +586,17 @@ def test_empty_tables(docs):
     assert decontaminate.decontaminate(none, docs.selectExpr("doc_id AS item_id", "text")).count() == 0
     items = docs.selectExpr("doc_id AS item_id", "text")
     assert decontaminate.decontaminate(docs, items.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
+
+
+def test_weights_move_by_the_mean_of_the_tasks_that_met_them(spark):
+    _, model = some_model(["one two three two one", "three two one"])
+    flat = model.flat()
+    r = np.random.default_rng(5)
+    rows = [(at, r.integers(0, 3, 4).astype(np.float32), float(r.integers(1, 9))) for _ in range(60) for at in (0, 4)]
+    changes = spark.createDataFrame([(at, bytearray(x.tobytes()), n) for at, x, n in rows], "at long, change binary, windows double").repartition(9)
+    want = flat.copy()
+    for at in (0, 4):
+        own = [(x, n) for a, x, n in rows if a == at]
+        want[at : at + 4] += sum(x * n for x, n in own) / np.maximum(sum((x != 0) * n for x, n in own), 1)
+    assert np.allclose(lm_score.moved(model, changes).flat(), want, atol=1e-5)
+    assert np.array_equal(lm_score.moved(model, changes.where("false")).flat(), flat)
