@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, large, mesh, solid
-from ..sources import tables
+from ..sources import faces, tables
 from .sql_base import NORMALS, TRIS, VERTS, WALLS, with_
 
 
@@ -134,6 +134,19 @@ def site_mesh_groups(spark, d):
     return g.select("element_id", "group_id", "num_triangles", *_r("area", "px", "py", "pz"), *(F.expr(f"round(g{c}, 6) + 0D").alias(f"g{c}") for c in "xyz"))
 
 
+def profile_faces(spark, d):
+    """Faces with corners that point in and with a hole, of the walls' sizes: triangles and their area."""
+    at = lambda x, z: f"named_struct('x', {x}, 'y', 0D, 'z', {z})"
+    loop = lambda *p: f"array({', '.join(at(x, z) for x, z in p)})"
+    ell = loop(("0D", "0D"), ("l", "0D"), ("l", "t"), ("t", "t"), ("t", "h"), ("0D", "h"))
+    clasp = loop(("0D", "0D"), ("l", "0D"), ("l", "t"), ("t", "t"), ("t", "h - t"), ("l", "h - t"), ("l", "h"), ("0D", "h"))
+    outline, hole = loop(("0D", "0D"), ("l", "0D"), ("l", "h"), ("0D", "h")), loop(("t", "t"), ("l - t", "t"), ("l - t", "h - t"), ("t", "h - t"))
+    rows = tables.walls(spark, d).selectExpr("element_id", f"stack(3, 'ell', array({ell}), 'clasp', array({clasp}), 'frame', array({outline}, {hole})) AS (kind, loops)")
+    area = "aggregate(cut, 0D, (s, p) -> s + abs((p[1].x - p[0].x) * (p[2].z - p[0].z) - (p[1].z - p[0].z) * (p[2].x - p[0].x)) / 2)"
+    return faces.with_triangles(rows).selectExpr("element_id", "kind", "CAST(size(cut) AS BIGINT) AS num_triangles", f"round({area}, 6) AS area")
+
+
+
 _T = with_(WALLS, VERTS, TRIS)
 _N = with_(WALLS, VERTS, TRIS, NORMALS)
 _EDGES = "edges AS (SELECT element_id, fid, least(a, b) AS lo, greatest(a, b) AS hi FROM tris UNION ALL SELECT element_id, fid, least(b, c), greatest(b, c) FROM tris UNION ALL SELECT element_id, fid, least(c, a), greatest(c, a) FROM tris)"
@@ -152,7 +165,7 @@ tris AS (SELECT element_id, fid, a, CASE WHEN f THEN c ELSE b END AS b, CASE WHE
 _COPLANAR = "copl AS (SELECT j.* FROM adj j JOIN norms p ON p.element_id = j.element_id AND p.fid = j.f JOIN norms q ON q.element_id = j.element_id AND q.fid = j.g WHERE acos(greatest(least(p.ux * q.ux + p.uy * q.uy + p.uz * q.uz, 1), -1)) < radians(5))"
 GROUPED = (WALLS, VERTS, _FIXED, NORMALS, _EDGES, _ADJ, _COPLANAR, _CLOSE.format(pairs="copl"))
 
-QUERIES = {f.__name__: f for f in (l1_volume, l1_surface_area, l1_bbox, l1_centroid, l1_watertight, l1_mesh_quality, l1_degenerate_filter, l1_winding_repair, soup_join, weld_vertices, face_adjacency, face_components, largest_body, coplanar_groups, group_properties, site_mesh_level1, site_mesh_bodies, site_mesh_groups)}
+QUERIES = {f.__name__: f for f in (l1_volume, l1_surface_area, l1_bbox, l1_centroid, l1_watertight, l1_mesh_quality, l1_degenerate_filter, l1_winding_repair, soup_join, weld_vertices, face_adjacency, face_components, largest_body, coplanar_groups, group_properties, site_mesh_level1, site_mesh_bodies, site_mesh_groups, profile_faces)}
 SQL = {
     "l1_volume": f"{with_(WALLS, VERTS, TRIS, _SIGNED)} SELECT element_id, round(abs(signed_volume), 6) AS volume FROM sv",
     "l1_surface_area": f"{_N} SELECT element_id, round(sum(area), 6) AS total_area FROM norms GROUP BY 1",
@@ -185,4 +198,5 @@ FROM sm JOIN sa USING (model_id) JOIN sg USING (model_id) JOIN st USING (model_i
 rb AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY area DESC, component) AS k, count(*) OVER (PARTITION BY model_id) AS num_bodies FROM sb) SELECT model_id AS element_id, component, area, num_bodies FROM rb WHERE k = 1""",
     "site_mesh_groups": f"""{with_(WALLS, VERTS, TRIS, NORMALS, _EDGES, _ADJ, _COPLANAR, _CLOSE.format(pairs="copl"))}, gs AS (SELECT element_id, component, sum(area) AS area, count(*) AS num_triangles, {', '.join(f'sum(u{c} * area) AS s{c}, sum(({c}0 + {c}1 + {c}2) / 3 * area) / sum(area) AS p{c}' for c in 'xyz')} FROM norms JOIN comp USING (element_id, fid) GROUP BY ALL)
 SELECT model_id AS element_id, element_id * 12 + component AS group_id, num_triangles, round(area, 6) AS area, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz, {', '.join(f'round(s{c} / sqrt(sx * sx + sy * sy + sz * sz), 6) + 0 AS g{c}' for c in 'xyz')} FROM gs JOIN (SELECT element_id, model_id FROM walls) USING (element_id)""",
+    "profile_faces": f"{with_(WALLS)} SELECT element_id, unnest(['ell', 'clasp', 'frame']) AS kind, unnest([4, 6, 8])::BIGINT AS num_triangles, round(unnest([l * t + (h - t) * t, l * h - (l - t) * (h - 2 * t), l * h - (l - 2 * t) * (h - 2 * t)]), 6) AS area FROM walls",
 }

@@ -2,7 +2,7 @@
 
 A file is one text; its instances become rows (model_id, id, type, args) by splitting, and geometry is joins over them:
 loops of points, faces of loops, shells of faces, bodies of shells; face sets and swept profiles by array functions. Faces
-are cut as fans, right for convex loops. Lengths are metres whatever unit the file declares. A file without instances gives a
+with corners that point in or with holes are cut as ``faces`` says. Lengths are metres whatever unit the file declares. A file without instances gives a
 row of ``load_errors``; Spark passes over files without a byte.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .faces import with_triangles
+
 _NUMBER = r"[-+]?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?"
 _STRING = r"('(?:[^']|'')*'|\$)"
 PRODUCT = rf"^'([^']*)',[^,]*,{_STRING},{_STRING},{_STRING},(#\d+|\$),(#\d+|\$)(?:,{_STRING})?(?:,(\.\w+\.|\$))?"
@@ -73,11 +75,6 @@ def _numbers(col):
     return F.transform(F.regexp_extract_all(col, F.lit(f"({_NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
 
 
-def _fan(points):
-    """Triangles of a convex loop, as an array of arrays of three points."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 2, F.lit(1))), lambda i: F.array(points[0], F.get(points, i), F.get(points, i + 1)))
-
-
 def _point(x, y, z):
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -96,8 +93,9 @@ def triangles(ents: DataFrame, types: tuple[str, ...] = ("IFCWALL",)) -> DataFra
     face = _links(ents, ("IFCFACE",), "face", "bound").drop("_k")
     shell = _links(ents, ("IFCCLOSEDSHELL", "IFCOPENSHELL"), "shell", "face").drop("_k")
     body = _links(ents, ("IFCFACETEDBREP", "IFCSHELLBASEDSURFACEMODEL"), "item", "shell").drop("_k")
-    brep = body.join(shell, ["model_id", "shell"]).join(face, ["model_id", "face"]).join(bound, ["model_id", "bound"]).join(loops, ["model_id", "loop_id"])
-    brep = brep.select("model_id", "item", F.col("face").alias("part"), F.posexplode(_fan(F.col("loop"))).alias("k", "t"))
+    flat = face.join(bound, ["model_id", "bound"]).join(loops, ["model_id", "loop_id"]).groupBy("model_id", "face").agg(F.transform(F.array_sort(F.collect_list(F.struct("bound", "loop"))), lambda s: s["loop"]).alias("loops"))
+    brep = body.join(shell, ["model_id", "shell"]).join(with_triangles(flat), ["model_id", "face"])
+    brep = brep.select("model_id", "item", F.col("face").alias("part"), F.posexplode("cut").alias("k", "t"))
 
     lists = ents.where("type = 'IFCCARTESIANPOINTLIST3D'").select("model_id", F.col("id").alias("points"), _numbers(F.regexp_extract("args", r"^(\(\(.*?\)\))", 1)).alias("n"))
     sets = ents.where("type = 'IFCTRIANGULATEDFACESET'").select("model_id", F.col("id").alias("item"), _refs()[0].alias("points"), F.regexp_extract_all("args", F.lit(r"\((\d+,\d+,\d+)\)"), F.lit(1)).alias("f"))
@@ -108,16 +106,21 @@ def triangles(ents: DataFrame, types: tuple[str, ...] = ("IFCWALL",)) -> DataFra
     line = ordered(("IFCPOLYLINE",), "line")
     rect = ents.where("type = 'IFCRECTANGLEPROFILEDEF'").select("model_id", F.col("id").alias("profile"), F.slice(F.reverse(_numbers(F.regexp_replace("args", r"#\d+", ""))), 1, 2).alias("d"))
     corner = lambda sx, sy: _point(F.lit(sx / 2) * F.col("d")[1], F.lit(sy / 2) * F.col("d")[0], F.lit(0.0))
-    rect = rect.select("model_id", "profile", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("loop"))
-    free = _links(ents, ("IFCARBITRARYCLOSEDPROFILEDEF",), "profile", "line").join(line, ["model_id", "line"]).select("model_id", "profile", F.when(F.col("loop")[0] == F.element_at("loop", -1), F.slice("loop", 1, F.size("loop") - 1)).otherwise(F.col("loop")).alias("loop"))
+    rect = rect.select("model_id", "profile", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("loop")).select("model_id", "profile", F.array("loop").alias("loops"))
+    drawn = _links(ents, ("IFCARBITRARYCLOSEDPROFILEDEF", "IFCARBITRARYPROFILEDEFWITHVOIDS"), "profile", "line").join(line, ["model_id", "line"])  # the outline, then its holes
+    drawn = drawn.withColumn("loop", F.when(F.col("loop")[0] == F.element_at("loop", -1), F.slice("loop", 1, F.size("loop") - 1)).otherwise(F.col("loop"))).where(F.size("loop") >= 3)
+    turned = lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda s, i: s + p[i]["x"] * p[(i + 1) % F.size(p)]["y"] - p[(i + 1) % F.size(p)]["x"] * p[i]["y"])
+    # holes run against the outline, so that the walls of both face outwards
+    drawn = drawn.withColumn("_area", turned(F.col("loop"))).groupBy("model_id", "profile").agg(F.array_sort(F.collect_list(F.struct("_k", "_area", "loop"))).alias("_s"))
+    free = drawn.select("model_id", "profile", F.transform("_s", lambda s, i: F.when((i > 0) & (F.signum(s["_area"]) == F.signum(F.col("_s")[0]["_area"])), F.reverse(s["loop"])).otherwise(s["loop"])).alias("loops"))
     direction = ents.where("type = 'IFCDIRECTION'").select("model_id", F.col("id").alias("dir"), _numbers("args").alias("v"))
     solid = ents.where("type = 'IFCEXTRUDEDAREASOLID'").select("model_id", F.col("id").alias("item"), F.regexp_extract("args", r"^#(\d+),", 1).cast("bigint").alias("profile"), F.expr(r"try_cast(regexp_extract(args, '^#[0-9]+,#([0-9]+),', 1) AS BIGINT)").alias("frame"), F.regexp_extract("args", rf"#(\d+),{_NUMBER}$", 1).cast("bigint").alias("dir"), F.regexp_extract("args", rf",({_NUMBER})$", 1).cast("double").alias("depth"))
-    swept = solid.join(rect.union(free), ["model_id", "profile"]).join(direction, ["model_id", "dir"])
-    top = F.transform("loop", lambda q: _point(*(q[c] + F.col("v")[i] * F.col("depth") for i, c in enumerate("xyz"))))
-    swept = swept.withColumn("top", top)
-    n = F.size("loop")
-    side = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.array(F.col("loop")[i], F.col("loop")[(i + 1) % n], F.col("top")[(i + 1) % n]), F.array(F.col("loop")[i], F.col("top")[(i + 1) % n], F.col("top")[i]))))
-    swept = swept.select("model_id", "item", "frame", F.posexplode(F.concat(_fan(F.reverse(F.col("loop"))), _fan(F.col("top")), side)).alias("k", "t"))
+    swept = solid.join(with_triangles(rect.union(free)), ["model_id", "profile"]).join(direction, ["model_id", "dir"])
+    up = lambda q: _point(*(q[c] + F.col("v")[i] * F.col("depth") for i, c in enumerate("xyz")))
+    ahead = lambda p, i: p[(i + 1) % F.size(p)]
+    around = lambda p: F.flatten(F.transform(p, lambda q, i: F.array(F.array(q, ahead(p, i), up(ahead(p, i))), F.array(q, up(ahead(p, i)), up(q)))))
+    sides = F.flatten(F.transform("loops", around))
+    swept = swept.select("model_id", "item", "frame", F.posexplode(F.concat(F.transform("cut", lambda t: F.reverse(t)), F.transform("cut", lambda t: F.transform(t, up)), sides)).alias("k", "t"))
     frames = _frames(ents, points, direction)
     swept = _placed(swept, frames, "frame").withColumn("part", F.lit(0).cast("bigint")).select("model_id", "item", "part", "k", "t")
 
