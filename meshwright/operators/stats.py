@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources.cut import cut
 from .select import FEW, order_statistics
-from .spread import attach
+from .spread import attach, evenly
 
 
 def distribution(values: DataFrame, group: str, value: str = "value", few: int = FEW) -> DataFrame:
     """n, min, max, mean, median and population deviation of values that are neither null nor 0."""
     v = values.where(F.col(value).isNotNull() & (F.col(value) != 0))
     plain = v.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"))
-    return plain.join(order_statistics(v, group, value, {"median_value": 0.5}, few).drop("n"), group)
+    return evenly(plain, order_statistics(v, group, value, {"median_value": 0.5}, few).drop("n"), group)
 
 
 def mad_outliers(values: DataFrame, group: str, key: str, value: str = "value", limit: float = 3.0, few: int = FEW) -> DataFrame:
@@ -40,10 +40,10 @@ def compare(a: DataFrame, b: DataFrame, match: str, tolerances: dict[str, float]
     """
     a, b = last_of_each(a, match, order), last_of_each(b, match, order)
     values = lambda d, p: d.select(match, *(F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"{p}_{c}") for c in tolerances))
-    met = values(a, "a").join(values(b, "b"), match)
+    met = evenly(values(a, "a"), values(b, "b"), match)
     one = F.explode(F.array(*(F.struct(F.lit(c).alias("property"), F.col(f"a_{c}").alias("a_value"), F.col(f"b_{c}").alias("b_value"), F.lit(t).alias("tolerance")) for c, t in tolerances.items())))
     out = met.select(match, one.alias("p")).select(match, "p.*").withColumn("diff", F.abs(F.col("a_value") - F.col("b_value"))).withColumn("exceeds", F.col("diff") > F.col("tolerance"))
-    only = a.select(match).join(b.select(match), match, "left_anti").withColumn("side", F.lit("a")).union(b.select(match).join(a.select(match), match, "left_anti").withColumn("side", F.lit("b")))
+    only = evenly(a.select(match), b.select(match), match, "left_anti").withColumn("side", F.lit("a")).union(evenly(b.select(match), a.select(match), match, "left_anti").withColumn("side", F.lit("b")))
     return out, only
 
 
@@ -54,9 +54,9 @@ def profile_steps(profile: DataFrame, group: str, order: list[str], value: str =
     p = profile.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(group))}).where("_n >= 5 AND _i >= floor(_n * 0.15) AND _i < _n - floor(_n * 0.15)")
     d = p.withColumn("step", F.col(value) - F.lag(value).over(w)).where("step IS NOT NULL")
     mid = d.groupBy(group).agg(F.median("step").alias("_m"))
-    off = d.join(mid, group).withColumn("_d", F.abs(F.col("step") - F.col("_m")))
+    off = evenly(d, mid, group).withColumn("_d", F.abs(F.col("step") - F.col("_m")))
     mad = off.groupBy(group).agg((F.median("_d") / 0.6745).alias("_s"))
-    return off.join(mad, group).where(F.expr(f"_s > 1e-10 AND _d > 3 * _s AND abs(step) > {jump}D")).select(group, "_i", "step").withColumnRenamed("_i", "position")
+    return evenly(off, mad, group).where(F.expr(f"_s > 1e-10 AND _d > 3 * _s AND abs(step) > {jump}D")).select(group, "_i", "step").withColumnRenamed("_i", "position")
 
 
 def sweep(values: DataFrame, column: str, start: float, stop: float, step: float) -> DataFrame:
@@ -72,6 +72,6 @@ def sweep(values: DataFrame, column: str, start: float, stop: float, step: float
 def normal_consistency(tris: DataFrame, key: str = "element_id") -> DataFrame:
     """Elements of four or more faces in which the rarer sign of the faces' volumes about the centre holds over 30 percent."""
     mid = tris.groupBy(key).agg(*(F.avg(F.expr(f"({c}0 + {c}1 + {c}2) / 3")).alias(f"m{c}") for c in "xyz"), F.count("*").alias("n"))
-    v = tris.join(mid, key).withColumn("_v", F.expr("(x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx))"))
+    v = evenly(tris, mid, key).withColumn("_v", F.expr("(x0 - mx) * ((y1 - my) * (z2 - mz) - (z1 - mz) * (y2 - my)) + (y0 - my) * ((z1 - mz) * (x2 - mx) - (x1 - mx) * (z2 - mz)) + (z0 - mz) * ((x1 - mx) * (y2 - my) - (y1 - my) * (x2 - mx))"))
     s = v.groupBy(key).agg(F.count_if(F.col("_v") > 0).alias("pos"), F.count_if(F.col("_v") < 0).alias("neg"), F.max("n").alias("n"))
     return s.withColumn("minority", F.expr("least(pos, neg) / n")).withColumn("inconsistent", F.expr("n >= 4 AND minority > 0.3"))
