@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.cut import dropped, written
 from .mesh import KEY, edges
+from .spread import evenly
 
 
 def weld(verts: DataFrame, decimals: int | None = None, key: str = KEY) -> DataFrame:
@@ -34,11 +35,11 @@ def propagate(pairs: DataFrame) -> DataFrame:
     both, sides = written(pairs.select(F.col("f").alias("u"), F.col("g").alias("v")).union(pairs.select("g", "f")).distinct())
     label, path = written(both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l")))
     while True:
-        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
-        step = label.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("l"))
+        near = evenly(both, label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
+        step = evenly(label, near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("l"))
         hooks = step.where("l < was").groupBy(F.col("was").alias("u")).agg(F.min("l").alias("h"))
-        step = step.join(hooks, "u", "left").select("u", "was", F.least("l", F.coalesce("h", "l")).alias("l"))
-        moved, new = written(step.join(step.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l")))
+        step = evenly(step, hooks, "u", "left").select("u", "was", F.least("l", F.coalesce("h", "l")).alias("l"))
+        moved, new = written(evenly(step, step.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", "was", F.least("l", F.coalesce("up", "l")).alias("l")))
         still = moved.where("was <> l").isEmpty()
         dropped(both, path)
         label, path = moved.select("u", "l"), new

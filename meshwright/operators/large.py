@@ -16,7 +16,7 @@ from ..sources.cut import cut
 from . import graph, mesh, solid
 from .mesh import KEY
 from .ordered import following
-from .spread import attach
+from .spread import attach, evenly
 
 #: Triangles that one row of a table may hold.
 LIMIT = 100_000
@@ -46,7 +46,7 @@ def _shape(tris: DataFrame, key: str) -> DataFrame:
     six = "x0 * (y1 * z2 - z1 * y2) + y0 * (z1 * x2 - x1 * z2) + z0 * (x1 * y2 - y1 * x2)"
     middle = {c: f"({c}0 + {c}1 + {c}2) / 3" for c in "xyz"}
     sums = mesh.normals(near).groupBy(key).agg(F.count("*").alias("num_triangles"), F.sum("area").alias("total_area"), (F.sum(F.expr(six)) / 6).alias("signed_volume"), *(F.expr(f"coalesce(try_divide(sum({m} * area), sum(area)), avg({m}))").alias(f"_m{c}") for c, m in middle.items()))
-    out = sums.join(box, key).join(mesh.watertight(tris, key), key)
+    out = evenly(evenly(sums, box, key), mesh.watertight(tris, key), key)
     out = out.withColumns({f"size_{c}": F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"} | {f"c{c}": F.col(f"_o{c}") + F.col(f"_m{c}") for c in "xyz"} | {"volume": F.abs("signed_volume")})
     return out.withColumn("normals_flipped", F.col("is_watertight") & (F.col("signed_volume") < 0) & (F.col("num_triangles") >= 4)).select(key, *LEVEL1)
 
@@ -71,7 +71,7 @@ def adjacency(tris: DataFrame, key: str = KEY) -> DataFrame:
     """(key, f, g): triangles with the first one of a side that they share, however many share it."""
     sides = mesh.edges(tris, key)
     first = sides.groupBy(key, "lo", "hi").agg(F.min("fid").alias("f"))
-    return sides.join(first, [key, "lo", "hi"]).where("fid <> f").select(key, "f", F.col("fid").alias("g")).distinct()
+    return evenly(sides, first, [key, "lo", "hi"]).where("fid <> f").select(key, "f", F.col("fid").alias("g")).distinct()
 
 
 #: Triangles by number whose pairs one task closes.
@@ -100,23 +100,23 @@ def components(tris: DataFrame, pairs: DataFrame, key: str = KEY, block: int = B
     kind = tris.schema[key].dataType.simpleString()
     roots = cut(within.select(key, "_block", F.col("f").cast("long").alias("f"), F.col("g").cast("long").alias("g")).groupBy(key, "_block").applyInPandas(close, f"{key} {kind}, fid long, root long"))
     of = lambda side: roots.select(key, F.col("fid").alias(side), F.col("root").alias(f"_{side}"))
-    across = pairs.where(F.floor(F.col("g") / block) != F.col("_block")).join(of("f"), [key, "f"], "left").join(of("g"), [key, "g"], "left")
+    across = evenly(evenly(pairs.where(F.floor(F.col("g") / block) != F.col("_block")), of("f"), [key, "f"], "left"), of("g"), [key, "g"], "left")
     across = cut(across.select(key, F.coalesce("_f", F.col("f").cast("long")).alias("f"), F.coalesce("_g", F.col("g").cast("long")).alias("g")).where("f <> g").distinct())
-    out = tris.select(key, F.col("fid").cast("long").alias("fid")).join(roots, [key, "fid"], "left").withColumn("root", F.coalesce("root", "fid"))
+    out = evenly(tris.select(key, F.col("fid").cast("long").alias("fid")), roots, [key, "fid"], "left").withColumn("root", F.coalesce("root", "fid"))
     if across.isEmpty():
         return out.select(key, "fid", F.col("root").alias("component"))
     node = lambda c: F.struct(F.col(key).alias("key"), F.col(c).alias("fid")).alias(c)
     joined = graph.propagate(across.select(node("f"), node("g"))).select(F.col("node.key").alias(key), F.col("node.fid").alias("root"), F.col("component.fid").alias("component"))
-    return out.join(joined, [key, "root"], "left").select(key, "fid", F.coalesce("component", "root").alias("component"))
+    return evenly(out, joined, [key, "root"], "left").select(key, "fid", F.coalesce("component", "root").alias("component"))
 
 
 def bodies(tris: DataFrame, key: str = KEY) -> DataFrame:
     """(key, fid, component, area, num_bodies): each triangle's body, the area of it, and how many its element has."""
     body = cut(components(tris, adjacency(tris, key), key))
-    area = mesh.normals(tris).select(key, F.col("fid").cast("long").alias("fid"), "area").join(body, [key, "fid"]).groupBy(key, "component").agg(F.round(F.sum("area"), 6).alias("area"))
+    area = evenly(mesh.normals(tris).select(key, F.col("fid").cast("long").alias("fid"), "area"), body, [key, "fid"]).groupBy(key, "component").agg(F.round(F.sum("area"), 6).alias("area"))
     area = cut(area)
     count = cut(area.groupBy(key).agg(F.count("*").alias("num_bodies")))
-    return attach(body.join(area, [key, "component"]), count, [key])
+    return attach(evenly(body, area, [key, "component"]), count, [key])
 
 
 def largest_body(tris: DataFrame, key: str = KEY) -> DataFrame:
@@ -130,20 +130,20 @@ def of_largest_body(tris: DataFrame, key: str = KEY) -> DataFrame:
     body = components(tris, adjacency(tris, key), key)
     best = cut(largest_body(tris, key).select(key, "component"))
     fids = attach(body, best.withColumnRenamed("component", "_best"), [key]).where("component = _best").select(key, "fid")
-    return tris.withColumn("fid", F.col("fid").cast("long")).join(fids, [key, "fid"], "left_semi").select(tris.columns)
+    return evenly(tris.withColumn("fid", F.col("fid").cast("long")), fids, [key, "fid"], "left_semi").select(tris.columns)
 
 
 def labelled(turned: DataFrame, degrees: float = 5.0, key: str = KEY) -> DataFrame:
     """(key, fid, component): coplanar clusters of ``faced`` triangles."""
     unit = lambda side, p: turned.select(key, F.col("fid").alias(side), *(F.col(f"u{c}").alias(f"{p}{c}") for c in "xyz"))
-    met = adjacency(turned, key).join(unit("f", "p"), [key, "f"]).join(unit("g", "q"), [key, "g"])
+    met = evenly(evenly(adjacency(turned, key), unit("f", "p"), [key, "f"]), unit("g", "q"), [key, "g"])
     return components(turned, met.where(f"acos(greatest(least(px * qx + py * qy + pz * qz, 1D), -1D)) < radians({degrees}D)").select(key, "f", "g"), key)
 
 
 def _grouped(tris: DataFrame, degrees: float, key: str) -> tuple[DataFrame, DataFrame]:
     """Groups of ``GROUP`` and the triangles with their group."""
     turned = cut(faced(tris, key))
-    rows = turned.withColumn("fid", F.col("fid").cast("long")).join(labelled(turned, degrees, key).withColumnRenamed("component", "group_id"), [key, "fid"])
+    rows = evenly(turned.withColumn("fid", F.col("fid").cast("long")), labelled(turned, degrees, key).withColumnRenamed("component", "group_id"), [key, "fid"])
     rows = cut(rows)
     sums = rows.groupBy(key, "group_id").agg(F.count("*").alias("num_triangles"), F.sum("area").alias("area"), *(F.sum(F.col(f"u{c}") * F.col("area")).alias(f"_n{c}") for c in "xyz"), *(F.expr(f"try_divide(sum(m{c} * area), sum(area))").alias(f"p{c}") for c in "xyz"))
     length = F.expr("sqrt(_nx * _nx + _ny * _ny + _nz * _nz)")
@@ -187,6 +187,6 @@ def crown_width(tris: DataFrame, by_area: bool = False, degrees: float = 5.0, ke
     split = widest.join(span, key).where("_g.gap > greatest(-_g._below - _lo, _hi - _g._up, 1e-3D)").select(key, F.expr("(-_g._below + _g._up) / 2").alias("_mid"))
     top = cut(attach(crown, cut(split), [key], "left").where("_mid IS NULL OR pz > _mid"))
     tilt = cut(top.groupBy(key).agg(F.expr("try_divide(sum(abs(gz) * area), sum(area))").alias("_tilt")).join(axis(rows, by_area, key), key))
-    faces = rows.join(top.select(key, "group_id"), [key, "group_id"], "left_semi")
+    faces = evenly(rows, top.select(key, "group_id"), [key, "group_id"], "left_semi")
     across = attach(faces, tilt, [key]).withColumns({f"_a{i}": F.expr(f"x{i} * ay - y{i} * ax") for i in range(3)})
     return across.groupBy(key, "_tilt").agg(F.expr("max(greatest(_a0, _a1, _a2)) - min(least(_a0, _a1, _a2))").alias("_w")).select(key, F.expr("try_divide(_w, _tilt) * 1000").alias("crown_width_mm"))
