@@ -28,3 +28,12 @@ def test_every_detector_finds_its_own(spark):
 def test_constants_keep_quotes(spark):
     for value in ("it's", "a\\b", "\\'", "plain"):
         assert spark.range(1).selectExpr(f"{text.of(value)} AS x").first()["x"] == value
+
+
+def test_detectors_stay_in_a_row(spark, tmp_path):
+    """Walls are read once: no detector groups their triangles or slices by a shuffle."""
+    from meshwright.operators import classify, measure
+    from meshwright.sources import tables
+
+    solids = measure.enriched(classify.classified(tables.meshes(tables.walls(spark, "/root/testdata/sf0.001").where("element_id < 3"))))
+    assert "Exchange" not in anomalies.detected(solids)._jdf.queryExecution().executedPlan().toString()
