@@ -600,3 +600,27 @@ def test_weights_move_by_the_mean_of_the_tasks_that_met_them(spark):
         want[at : at + 4] += sum(x * n for x, n in own) / np.maximum(sum((x != 0) * n for x, n in own), 1)
     assert np.allclose(lm_score.moved(model, changes).flat(), want, atol=1e-5)
     assert np.array_equal(lm_score.moved(model, changes.where("false")).flat(), flat)
+
+
+def test_rows_of_a_task_hold_what_it_met():
+    """Counts and changes of a task are as large as what it met, and are whole."""
+    x = np.zeros((lm_score.SURVEY_ROW, 67), np.int64)
+    x[[3, 500], [0, 66]] = 7, 1 << 40
+    data = lm_score.told(x)
+    assert len(data) == 2 * 12
+    places, n = lm_score.read(data, np.int64)
+    assert {(p // 67, p % 67): v for p, v in zip(places.tolist(), n.tolist(), strict=True)} == {(3, 0): 7, (500, 66): 1 << 40}
+    one = pa.table({"change": pa.array([lm_score.told(np.array([0, 2, 0, 1], np.float32)), lm_score.told(np.array([0, 4], np.float32))]), "windows": [1.0, 3.0]})
+    added = lm_score._added((pa.scalar(0),), one)
+    assert np.frombuffer(lm_score._mean((pa.scalar(0),), added)["change"][0].as_buffer(), np.float32)[:5].tolist() == [0, 3.5, 0, 1, 0]
+
+
+def test_a_worker_keeps_its_encoder():
+    from meshwright.llm.subwords import kept_encoder, tokenizer_path
+
+    e = kept_encoder(tokenizer_path())
+    e.encode(pa.array(["one two three"]))
+    met = e.n
+    assert kept_encoder(tokenizer_path()) is e
+    e.encode(pa.array(["three two one"]))
+    assert e.n == met
